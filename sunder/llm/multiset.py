@@ -34,12 +34,11 @@ def paragraphs(text: Column) -> Column:
 
 def exact_lanes(paras: Column) -> list[Column]:
     """The EXACT sums modulo 2^32, as longs."""
-    out = []
-    for seed in range(EXACT // 2):
-        hashes = F.transform(paras, lambda p, seed=seed: F.xxhash64(F.lit(seed), p))
-        for shift in (0, 32):
-            out.append(F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h, shift=shift: (s + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_LOW))))
-    return out
+    def lane(seed: int, shift: int) -> Column:
+        hashes = F.transform(paras, lambda p: F.shiftrightunsigned(F.xxhash64(F.lit(seed), p), shift).bitwiseAND(F.lit(_LOW)))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: (s + h).bitwiseAND(F.lit(_LOW)))
+
+    return [lane(seed, shift) for seed in range(EXACT // 2) for shift in (0, 32)]
 
 
 def pair_hashes(paras: Column) -> Column:

@@ -6,8 +6,8 @@ it may stand for, and Viterbi decoding finds the reading that is likeliest under
 as a state is the last two characters. The trigrams are counted over all documents: each task sums a table of 32^3
 cells, so what is gathered grows with the input and what reaches the driver doesn't. Words of letters only have one reading and pass as they are.
 
-The restored text is then scored. Features are its distinct words, with letters said twice written once, and their beginnings of 4 to 6 letters. A
-feature's toxic share among the labelled texts must exceed half, and by the Chernoff bound be no accident among all
+The restored text is then scored. Features are its distinct words, with letters said twice written once, and that one, two, three or four of them share a
+beginning of 4 to 7 letters. A feature's toxic share among the labelled texts must reach LEAST_SHARE, and by the Chernoff bound be no accident among all
 features tried. A text is toxic unless all its telling words are innocent: 1 - prod(1 - share) over its distinct
 words, the best feature of each. Without one the score is the toxic share of such texts.
 
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from sunder.llm.common import held_out, small_batches, written
 
 FIT_ROWS, THRESHOLD, LONGEST = 10_000, 0.5, 40
-PREFIXES = (4, 5, 6)
+#: A feature that tells less is left to chance: several weak ones together would condemn clean texts.
+LEAST_SHARE = 0.9
+PREFIXES, SHARED = (4, 5, 6, 7), (1, 2, 3, 4)
 
 #: The letters that a character may stand for.
 LOOKS_LIKE = {
@@ -190,8 +192,11 @@ class Channel:
 _OPENING = "".join(c for c in _MARKS if c not in LOOKS_LIKE)
 
 
-def features(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
+def features(words: set[str], only: dict | None = None) -> dict[str, list[str]]:
+    """Each word's features in a text of these words: itself, and that so many of them begin alike."""
+    words = {w for w in words if len(w) > 1}
+    alike = Counter(w[:n] for w in words for n in PREFIXES if len(w) > n and (only is None or w[:n] in only))
+    return {w: [w, *(f"{k}^{w[:n]}" for n in PREFIXES if len(w) > n for k in SHARED if k <= alike[w[:n]])] for w in words}
 
 
 class Model:
@@ -199,6 +204,7 @@ class Model:
 
     def __init__(self, language: np.ndarray, shares: dict[str, float], base: float):
         self.language, self.shares, self.base = language, shares, base
+        self.beginnings = dict.fromkeys(f.partition("^")[2] for f in shares)
         self._channel = None
 
     def __getstate__(self):
@@ -215,8 +221,8 @@ class Model:
 
     def score(self, text: str | None) -> float:
         get, innocent = self.shares.get, 1.0
-        for word in sorted(w for w in self.channel.words(text) if len(w) > 1):
-            if (share := max(get(word, 0.0), *(get("^" + word[:n], 0.0) for n in PREFIXES))) > 0:
+        for _, own in sorted(features(self.channel.words(text), self.beginnings).items()):
+            if (share := max(get(f, 0.0) for f in own)) > 0:
                 innocent *= 1 - share
         return 1 - innocent * (1 - self.base)
 
@@ -233,7 +239,7 @@ def _counted(rows: DataFrame, channel: Channel, only: set[str] | None) -> Counte
         own, total = Channel(language), Counter()
         for batch in batches:
             for text in batch.column(0):
-                total.update({f for w in own.words(text.as_py()) if len(w) > 1 for f in features(w) if only is None or f in only})
+                total.update({f for fs in features(own.words(text.as_py())).values() for f in fs if only is None or f in only})
         yield pa.RecordBatch.from_pydict({"f": pa.array(total.keys(), pa.string()), "n": pa.array(total.values(), pa.int64())})
 
     got = rows.select("_text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
@@ -249,7 +255,7 @@ def telling(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[
     for f, a in toxic.items():
         n = a + clean[f]
         share = a / n
-        if share <= max(0.5, prior):
+        if share < max(LEAST_SHARE, prior):
             continue
         above = share * math.log(share / prior) + ((1 - share) * math.log((1 - share) / (1 - prior)) if share < 1 else 0)
         if n * above >= math.log(len(toxic)) + 2:
@@ -278,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     clean = _counted(some.where("y = 0"), channel, set(toxic))
     shares = telling(toxic, clean, n_toxic, n_clean)
     # the words looked for are part of the language: a hundredth of its trigrams
-    own = trigrams(f.lstrip("^") for f in shares)
+    own = trigrams(f.rpartition("^")[2] for f in shares)
     if own.sum():
         language = language_model(counts + own * (counts.sum() / 100 / own.sum()))
     return Model(language, shares, _base(some, Model(language, shares, 0.0)))

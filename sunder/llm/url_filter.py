@@ -74,11 +74,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
 def buckets_of(host: Column, path: Column, buckets: int = BUCKETS, ngrams: tuple[int, ...] = NGRAMS) -> Column:
     """array<int>: the distinct buckets of the n-grams of host and path, ends marked."""
     line = F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$"))
-    grams = []
-    for n in ngrams:
+
+    def of(n: int) -> Column:
         starts = F.when(F.char_length(line) >= n, F.sequence(F.lit(1), F.char_length(line) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.pmod(F.xxhash64(F.substring(line, i, F.lit(n))), F.lit(buckets)).cast("int")))
-    return F.array_distinct(F.concat(*grams))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(line, i, F.lit(n))), F.lit(buckets)).cast("int"))
+
+    return F.array_distinct(F.concat(*map(of, ngrams)))
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "label", buckets: int = BUCKETS, steps: int = 300, rate: float = 1.0, decay: float = 1e-3) -> tuple[list[float], float]:
