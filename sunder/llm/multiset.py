@@ -8,7 +8,7 @@ wide vector, and the document's fingerprint is their sum, taken lane by lane mod
 
 So the order of paragraphs doesn't matter, adding a paragraph adds its vector and deleting one subtracts it, see
 `combined`. A counter c of n pairs gives the signed sum 2c - n, and the cosine of two documents' signed sums estimates
-that of their word-pair counts (error about 1/8): the likeness. Two 32-bit counters share a long, so a pair costs 32 additions.
+that of their word-pair counts (error about 1/8): the likeness.
 
 Equal texts have equal fingerprints; texts that differ only in blank lines, order of lines, or the white space at a line's end do
 too. Defined cases: a null or empty text has the zero fingerprint; two equal fingerprints have likeness 1, a zero one
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT, LANES = 8, 64
+EXACT, LANES, CHUNK = 8, 64, 32_000
 _LOW = 0xFFFFFFFF
 #: Texts in a bucket of neighbours, on average.
 BUCKET_ROWS = 1000
@@ -43,27 +43,28 @@ def exact_lanes(paras: Column) -> list[Column]:
 
 def pair_hashes(paras: Column) -> Column:
     """array<bigint>: a hash for each word of each paragraph and the word after it, the last one with none."""
-
-    def of(p: Column) -> Column:
-        words = F.split(p, " ")
-        return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
-
-    return F.flatten(F.transform(paras, of))
+    words = F.transform(paras, lambda p: F.split(p, " "))
+    return F.flatten(F.transform(words, lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """A row for each row of texts: keys and f, a struct of exact (array<bigint>), pairs (bigint) and counters (array<bigint>).
 
     keys name columns that together are unique; they may have nulls. If texts is partitioned by some of them already, nothing is shuffled.
-    Only longs are aggregated, so that it is done in a hash table without a sort.
+    Pairs are counted in chunks of CHUNK, four 16-bit counters to a long: 16 sums, few enough that the JVM compiles the
+    loop over them (of 32 sums it would not). The chunks of a text are then added up.
     """
     paras = texts.select(*keys, paragraphs(F.col(text)).alias("_paras"))
-    rows = paras.select(*keys, *(e.alias(f"_e{k}") for k, e in enumerate(exact_lanes(F.col("_paras")))), F.explode_outer(pair_hashes(F.col("_paras"))).alias("_h"))
-    sums = [F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(0x0000000100000001))).alias(f"_c{k}") for k in range(LANES // 2)]
-    out = rows.groupBy(*keys).agg(*(F.first(f"_e{k}").alias(f"_e{k}") for k in range(EXACT)), F.count("_h").alias("_n"), *sums)
-    two = [F.coalesce(f"_c{k}", F.lit(0).cast("long")) for k in range(LANES // 2)]
-    counters = F.array(*(c.bitwiseAND(F.lit(_LOW)) for c in two), *(F.shiftrightunsigned(c, 32) for c in two))
-    return out.select(*keys, F.struct(F.array(*(f"_e{k}" for k in range(EXACT))).alias("exact"), F.col("_n").alias("pairs"), counters.alias("counters")).alias("f"))
+    # what stands beside an explode is evaluated for each row that it makes, so the lanes are made before
+    rows = paras.select(*keys, F.array(*exact_lanes(F.col("_paras"))).alias("_e"), pair_hashes(F.col("_paras")).alias("_hs"))
+    rows = rows.select(*keys, "_e", F.posexplode_outer("_hs").alias("_p", "_h"))
+    rows = rows.withColumns({"_k": F.coalesce(F.expr(f"_p div {CHUNK}"), F.lit(0)), "_h": F.coalesce("_h", F.lit(0))})
+    sums = [F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(0x0001000100010001))).alias(f"_c{k}") for k in range(LANES // 4)]
+    part = rows.groupBy(*keys, "_e", "_k").agg(F.count("_p").alias("pairs"), *sums)
+    counters = F.array(*(F.shiftrightunsigned(f"_c{k}", 16 * lane).bitwiseAND(F.lit(0xFFFF)) for lane in range(4) for k in range(LANES // 4)))
+    out = part.select(*keys, "_e", F.struct("pairs", counters.alias("counters")).alias("_f")).groupBy(*keys, "_e").agg(F.collect_list("_f").alias("_fs"))
+    added = F.aggregate(F.slice("_fs", F.lit(2), F.size("_fs")), F.col("_fs")[0], lambda s, f: F.struct((s.pairs + f.pairs).alias("pairs"), F.zip_with(s.counters, f.counters, lambda x, y: (x + y).bitwiseAND(F.lit(_LOW))).alias("counters")))
+    return out.select(*keys, "_e", added.alias("_f")).select(*keys, F.struct(F.col("_e").alias("exact"), "_f.pairs", "_f.counters").alias("f"))
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
