@@ -34,7 +34,8 @@ UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs ms hz kh
 
 def tokens(text: Column) -> Column:
     """array<string>: what stands between ASCII white space, without empty ones."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\r\f\x0b", "     "), " "), lambda t: t != "")
+    line = F.trim(text, F.lit(" \t\n\r\f\x0b"))
+    return F.when(line != "", F.split(line, "\\s+")).otherwise(F.array().cast("array<string>"))
 
 
 def bare(token: Column) -> Column:
@@ -110,7 +111,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     slots = F.filter(F.zip_with("temps", F.zip_with(low(F.col("item_values")), low(F.col("values")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda t, v: F.when(t.isin("<num>", "<name>", "<unit>"), v)), lambda s: s.isNotNull())
     seen = pairs.select("id", "item", "at", "n", (low(F.col("item_values")) == low(F.col("values"))).alias("same"), slots.alias("slots"))
     # a document may hold a window often; each way to fill it counts once, so a hot one is combined before the shuffle
-    seen = seen.groupBy("id", "item", "at", "n", "slots").agg(F.max("same").alias("same"))
+    # the documents are read once: what matches is written
+    seen = written(seen.groupBy("id", "item", "at", "n", "slots").agg(F.max("same").alias("same")), "matches")
     by_window = seen.groupBy("id", "item", "at", "n").agg(F.max("same").alias("same"))
     counts = by_window.groupBy("id", "item", "n").agg(F.count("*").alias("windows"), F.count_if("same").alias("copies"))
     values = seen.select("id", "item", F.explode("slots").alias("s")).select("id", "item", "s.x", "s.y").distinct()
