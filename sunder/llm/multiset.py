@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunder.llm.common import written
+
 EXACT, LANES, CHUNK = 8, 64, 32_000
 _LOW = 0xFFFFFFFF
 #: Texts in a bucket of neighbours, on average.
@@ -106,7 +108,8 @@ def neighboured(docs: DataFrame, doc_id: str, text: str, bucket_rows: int = BUCK
     blocks = blocks.select(F.col("block").alias("at"), F.lag("top").over(Window.orderBy("block")).alias("below"), F.max("top").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("end"))
     before = inner.join(F.broadcast(blocks), F.col("block") == F.col("at")).select(F.col("bucket").alias("b"), F.coalesce("before", "below", "end").alias("to"))  # a row for 1000 buckets
     ends = rows.groupBy("bucket").agg(F.max(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("head"))
-    sent = ends.join(before, F.col("bucket") == F.col("b")).select(F.col("b").alias("bucket"), "head", "to")
+    # written, so that the planner knows how small this is and broadcasts it while it is below its threshold
+    sent = written(ends.join(before, F.col("bucket") == F.col("b")).select(F.col("b").alias("bucket"), "head", "to"), "heads")
     halo = rows.join(sent, "bucket").where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head")).groupBy("to", "doc_id").agg(F.min("text").alias("text"))
     halo = halo.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(False).alias("own"))
     both = rows.select("doc_id", "text", "bucket", F.lit(True).alias("own")).union(halo)
