@@ -161,7 +161,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """
     classes = near_duplicates(docs, doc_id, text, **how)
     kept = written(classes.where("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"), F.count_distinct("fp").alias("fps")), "kept")
-    out = docs.join(kept.where("doc_id is not null").select(F.col("doc_id").alias("_kept")), F.col(doc_id) == F.col("_kept"), "left_semi")
+    ids = kept.where("doc_id is not null").select(F.col("doc_id").alias("_kept")).hint("shuffle_hash")  # too many to broadcast, and texts needn't be sorted
+    out = docs.join(ids, F.col(doc_id) == F.col("_kept"), "left_semi")
     if kept.where("n > 1 or doc_id is null").limit(1).count():  # ids aren't unique here: leave one row of each
         fp = fingerprint(F.col(text), how.get("words", SHINGLE_WORDS))
         lost = docs.where(F.col(doc_id).isNull())
