@@ -205,6 +205,7 @@ class Model:
     def __init__(self, language: np.ndarray, shares: dict[str, float], base: float):
         self.language, self.shares, self.base = language, shares, base
         self.beginnings = dict.fromkeys(f.partition("^")[2] for f in shares)
+        self.stems = {b[: PREFIXES[0]] for b in self.beginnings if b}
         self._channel = None
 
     def __getstate__(self):
@@ -220,8 +221,10 @@ class Model:
         return self._channel
 
     def score(self, text: str | None) -> float:
-        get, innocent = self.shares.get, 1.0
-        for _, own in sorted(features(self.channel.words(text), self.beginnings).items()):
+        shares, stems, stem, innocent = self.shares, self.stems, PREFIXES[0], 1.0
+        get = shares.get
+        telling = {w for w in self.channel.words(text) if w[:stem] in stems or w in shares}  # no other word has a feature with a share
+        for _, own in sorted(features(telling, self.beginnings).items()):
             if (share := max(get(f, 0.0) for f in own)) > 0:
                 innocent *= 1 - share
         return 1 - innocent * (1 - self.base)
