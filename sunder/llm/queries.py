@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunder.llm import bpe, chat, decontaminate, multiset, pu_quality, simhash, toxicity, url_filter, warc
+from sunder.llm import bpe, chat, decontaminate, multiset, pu_quality, simhash, toxicity, training_order, url_filter, warc
 from sunder.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return training_order.materialised(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, key=20240101)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages"))
     return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").alias("refers_to"), "record_id", F.col("date").alias("warc_date"))
@@ -63,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bpe, op2_simhash, op3_quality, op5_warc, op6_url_filter, op7_multiset, op8_toxicity, op9_decontaminate, op10_chat, pipeline)
+    found = (op1_bpe, op2_simhash, op3_quality, op4_training_order, op5_warc, op6_url_filter, op7_multiset, op8_toxicity, op9_decontaminate, op10_chat, pipeline)
     return {f.__name__: f for f in found}
 
 
