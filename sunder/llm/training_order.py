@@ -33,6 +33,8 @@ from sunder.llm.common import shared_folder, small_batches, written
 
 LENGTH, SHARD, SEPARATOR, ROUNDS = 1024, 8192, 50256, 6
 STRIDE = 2 * LENGTH + 1
+#: The table of tokens stands beside the shuffle and the shards, so it is packed well: larger pages let zstd find more repeats.
+_PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(16 << 20)}
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -149,7 +151,7 @@ def materialised(docs: DataFrame, path: str, pattern: str, key: int, doc_id: str
     doc_ids are the documents that a sequence holds parts of; intact says whether the record at the slot is that sequence.
     """
     spark = docs.sparkSession
-    table = written(sequences(docs, path, pattern, doc_id, text, length), "sequences", compression="zstd")
+    table = written(sequences(docs, path, pattern, doc_id, text, length), "sequences", **_PACKED)
     parts = table.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task
     bases = written(parts.select(F.col("part").alias("_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), "n"), "parts")
     n = bases.agg(F.sum("n")).first()[0] or 0
