@@ -82,10 +82,10 @@ def slot_of(number: Column, n: int, key: int) -> Column:
 
 
 def sequences(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(part, place, doc_ids, n_tokens, tokens): the packed sequences of each task; tokens are 2 * length bytes, n_tokens counts ids other than the separator. Ids must fit 16 bits."""
+    """(part, place, doc_ids, digest, tokens): the packed sequences of each task; tokens are 2 * length bytes, digest their SHA-256. Ids must fit 16 bits."""
     small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int32()), ("tokens", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("digest", pa.binary()), ("tokens", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, part, place = _encoding(data.value, pattern), TaskContext.get().partitionId(), 0
@@ -104,7 +104,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
             k = int(np.searchsorted(ends, n * length, "right"))
             rest, rest_ids = stream[n * length :], ids[k:]
             rest_ends = ends[k:] - n * length
-            out = pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.array(rows, schema.field(2).type), pa.array((stream[: n * length].reshape(n, length) != SEPARATOR).sum(1), pa.int32()), pa.array(tokens, pa.binary())], schema=schema)
+            out = pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.array(rows, schema.field(2).type), pa.array([hashlib.sha256(t).digest() for t in tokens], pa.binary()), pa.array(tokens, pa.binary())], schema=schema)
             place += n
             return out, rest_ends
 
@@ -117,7 +117,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
         if len(rest):
             yield cut(rest, ends, rest_ids, True)[0]
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(pack, "part int, place long, doc_ids array<long>, n_tokens int, tokens binary")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(pack, "part int, place long, doc_ids array<long>, digest binary, tokens binary")
 
 
 def write_shards(placed: DataFrame, folder: str, shards: int) -> None:
@@ -128,7 +128,7 @@ def write_shards(placed: DataFrame, folder: str, shards: int) -> None:
 
 
 def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = SHARD) -> DataFrame:
-    """(slot, shard, sha256) of every record, by stride."""
+    """(slot, digest, n_tokens) of every record, by stride: its SHA-256, and its count of ids other than the separator."""
     stride = 2 * length + 1
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,17 +139,20 @@ def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shar
                     raise ValueError(f"{path} isn't a whole count of records")
                 n = len(data) // stride
                 records = [data[k * stride : (k + 1) * stride - 1] for k in range(n)]
-                yield pa.RecordBatch.from_pydict({"slot": pa.array(range(shard * per_shard, shard * per_shard + n), pa.int64()), "shard": pa.array([shard] * n, pa.int64()), "sha256": [hashlib.sha256(r).hexdigest() for r in records]})
+                counts = [int((np.frombuffer(r, np.uint16) != SEPARATOR).sum()) for r in records]
+                digests = pa.array([hashlib.sha256(r).digest() for r in records], pa.binary())
+                yield pa.RecordBatch.from_pydict({"slot": pa.array(range(shard * per_shard, shard * per_shard + n), pa.int64()), "digest": digests, "n_tokens": pa.array(counts, pa.int32())})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    return files.mapInArrow(parse, "slot long, shard long, sha256 string")
+    return files.mapInArrow(parse, "slot long, digest binary, n_tokens int")
 
 
 def materialised(docs: DataFrame, path: str, pattern: str, key: int, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = SHARD) -> DataFrame:
     """Writes the shards to the shared folder and reads them back: (slot, shard, position, number, doc_ids, n_tokens, sha256, intact) of every sequence.
 
-    doc_ids are the documents that a sequence holds parts of; intact says whether the records of its shard, as read back, are
-    the sequences placed there: their count and the exclusive-or of their hashes with their slots agree, so no row is shuffled to tell.
+    doc_ids are the documents that a sequence holds parts of; sha256 and n_tokens are of the record at the slot, as read
+    back (null where there is none), and intact says whether it is the sequence as it was packed. The join that tells shuffles a
+    digest and the doc_ids of a sequence, not its tokens.
     """
     spark = docs.sparkSession
     table = written(sequences(docs, path, pattern, doc_id, text, length), "sequences", **_PACKED)
@@ -163,10 +166,8 @@ def materialised(docs: DataFrame, path: str, pattern: str, key: int, doc_id: str
         write_shards(placed.select("shard", "slot", "tokens"), folder, -(-n // per_shard))
         back = read_shards(spark, folder, length, per_shard)
     else:
-        back = spark.createDataFrame([], "slot long, shard long, sha256 string")
-    own = placed.select("slot", "shard", (F.col("slot") % per_shard).alias("position"), "number", "doc_ids", "n_tokens", F.sha2("tokens", 256).alias("sha256"))
-    sums = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("slot", "sha256")).alias("sum")]
-    there = back.groupBy("shard").agg(*sums)
-    intact = written(own.groupBy("shard").agg(*sums).join(there, ["shard", "n", "sum"]).select(F.col("shard").alias("_shard")), "intact")  # a row for each shard
-    out = own.join(intact, F.col("shard") == F.col("_shard"), "left")
-    return out.select("slot", "shard", "position", "number", "doc_ids", "n_tokens", "sha256", F.col("_shard").isNotNull().alias("intact"))
+        back = spark.createDataFrame([], "slot long, digest binary, n_tokens int")
+    own = placed.select("slot", "number", "doc_ids", F.col("digest").alias("_own"))
+    out = own.join(back, "slot", "left")
+    names = {"shard": F.expr(f"slot div {per_shard}"), "position": F.col("slot") % per_shard, "sha256": F.lower(F.hex("digest")), "intact": F.coalesce(F.col("digest") == F.col("_own"), F.lit(False))}
+    return out.withColumns(names).select("slot", "shard", "position", "number", "doc_ids", "n_tokens", "sha256", "intact")
