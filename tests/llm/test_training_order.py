@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -35,3 +37,21 @@ def test_sequences_hold_all_tokens_in_order(spark):
 def test_query(spark):
     out = q.op4_training_order(spark, "/root/testdata/sf0.001")
     assert out.where(~F.col("intact")).isEmpty()
+
+
+def test_a_changed_record_is_told(spark, tmp_path):
+    rows = [(slot, slot // 4, bytes([65 + slot]) * 32) for slot in range(10)]
+    placed = spark.createDataFrame(rows, "slot long, shard long, tokens binary")
+    folder = str(tmp_path / "shards")
+    training_order.write_shards(placed, folder, 3)
+    want = {slot: hashlib.sha256(tokens).digest() for slot, _, tokens in rows}
+    read = lambda: {r["slot"]: bytes(r["digest"]) for r in training_order.read_shards(spark, folder, 16, 4).collect()}
+    assert read() == want
+    (file,) = (tmp_path / "shards" / "shard=1").glob("part-*")
+    data = bytearray(file.read_bytes())
+    data[33 + 5] ^= 1  # within the second record, that of slot 5
+    file.write_bytes(data)
+    for sums in file.parent.glob(".part-*.crc"):
+        sums.unlink()
+    got = read()
+    assert [s for s in want if got[s] != want[s]] == [5]
