@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sunder.llm import resemblance
 from sunder.llm.common import small_batches, written
 from sunder.llm.components import connected_components
 
@@ -154,19 +155,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = resemblance.SIMILARITY, words: int = SHINGLE_WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
+    """(doc_id, node, component_id) of every row, as near_duplicates, but also linked by resemblance.
+
+    node stands for a set of five-word shingles. Components join equal fingerprints, fingerprints within `distance`
+    bits, equal sets and sets of at least `similarity`.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp"), resemblance.sketched(F.col(text)).alias("_"))
+    prints = written(rows.select("doc_id", "fp", "_.*"), "sketches")
+    pairs = written(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    hubs = written(pairs.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
+    sets = prints.select("node", "n", "sketch", "shingles")
+    sets = written(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in sets.columns[1:])), "sets")
+    near = links(hubs.select("fp"), distance, blocks, group)
+    near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("ha")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("hb")), "b")
+    edges = pairs.join(hubs, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    edges = edges.union(near.select("ha", "hb")).union(resemblance.links(sets, similarity))
+    labels = connected_components(edges)
+    members = pairs.groupBy("node").agg(F.min("first_id").alias("first_id")).join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    firsts = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    found = written(members.join(firsts, "root").select("node", "component_id"), "classes")
+    return prints.select("doc_id", "node").join(found, "node").select("doc_id", "node", "component_id")
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays, one of them if rows share that id.
+    """docs without near-duplicates: of each component of `classes` the row with the smallest id stays, one of them if rows share that id.
 
-    Of rows without an id, one stays for each component that has no other.
+    Of rows without an id, one stays for each component that has no other and, within it, for each set of shingles.
     """
-    classes = near_duplicates(docs, doc_id, text, **how)
-    kept = written(classes.where("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"), F.count_distinct("fp").alias("fps")), "kept")
+    found = classes(docs, doc_id, text, **how)
+    kept = written(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     ids = kept.where("doc_id is not null").select(F.col("doc_id").alias("_kept")).hint("shuffle_hash")  # too many to broadcast, and texts needn't be sorted
     out = docs.join(ids, F.col(doc_id) == F.col("_kept"), "left_semi")
     if kept.where("n > 1 or doc_id is null").limit(1).count():  # ids aren't unique here: leave one row of each
-        fp = fingerprint(F.col(text), how.get("words", SHINGLE_WORDS))
         lost = docs.where(F.col(doc_id).isNull())
-        orphans = classes.where("component_id is null").select("fp").distinct()
-        lost = lost.withColumn("_fp", fp).join(orphans.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+        orphans = found.where("component_id is null").select(F.col("node").alias("_node")).distinct()
+        lost = lost.withColumn("_node", resemblance.sketched(F.col(text))["node"]).join(orphans, "_node", "left_semi").dropDuplicates(["_node"]).drop("_node")
         out = out.dropDuplicates([doc_id]).unionByName(lost)
     return out
