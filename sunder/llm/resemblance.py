@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from sunder.llm.common import written
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
-#: Sets of one meeting that a task compares at most with as many others: 480 bytes of sketch each.
+#: Sets of one meeting that a task compares at most with as many others: 120 bytes of marks each.
 GROUP = 1024
 #: Estimates below this aren't verified: four standard errors under the similarity.
 FLOOR = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
 _ODD = np.random.default_rng(5).integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(6).integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
 
-SKETCHED = "struct<node:long,n:int,sketch:binary,shingles:binary>"
+SKETCHED = "struct<node:long,bands:array<long>,marks:binary,shingles:binary>"
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -56,8 +56,12 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def sketched(text: Column) -> Column:
-    """Struct of node (a hash of the set), n, sketch and shingles (the set's sorted upper halves)."""
+    """Struct of node (a hash of the set), bands (a key for each band, none of an empty set), marks (a byte of each minimum) and shingles (the set's sorted upper halves)."""
 
     @F.arrow_udf(SKETCHED)
     def sketch(texts: pa.Array) -> pa.Array:
@@ -65,9 +69,10 @@ def sketched(text: Column) -> Column:
         for t in texts:
             hashes = shingle_hashes(t.as_py())
             halves = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
-            node = xxhash.xxh64_intdigest(hashes.tobytes())
-            rows.append({"node": node - (1 << 64) if node >> 63 else node, "n": len(hashes), "sketch": minima(hashes).tobytes(), "shingles": halves.tobytes()})
-        return pa.array(rows, pa.struct([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("shingles", pa.binary())]))
+            least = minima(hashes)
+            bands = [_signed(xxhash.xxh64_intdigest(band.tobytes(), b)) for b, band in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else []
+            rows.append({"node": _signed(xxhash.xxh64_intdigest(hashes.tobytes())), "bands": bands, "marks": least.astype(np.uint8).tobytes(), "shingles": halves.tobytes()})
+        return pa.array(rows, pa.struct([("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("marks", pa.binary()), ("shingles", pa.binary())]))
 
     return sketch(text)
 
@@ -97,7 +102,7 @@ def _forest(members: Column) -> Column:
         out = []
         for group in groups:
             members = sorted(group.as_py(), key=lambda m: m["node"])
-            table = np.stack([np.frombuffer(m["sketch"], np.uint32) for m in members])
+            table = np.stack([np.frombuffer(m["marks"], np.uint8) for m in members])
             out.append([{"a": members[i]["node"], "b": members[j]["node"]} for i, j in spanning_forest(table)])
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
@@ -120,22 +125,21 @@ def _jaccard(x: Column, y: Column) -> Column:
 
 
 def links(sets: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """Verified edges (a, b) among sets: a table of node, n, sketch and shingles with one row for each node."""
-    width = 4 * ROWS
-    bands = F.array(*(F.xxhash64(F.lit(b), F.substring("sketch", 1 + b * width, width)) for b in range(BANDS)))
-    keys = sets.where("n > 0").select("node", F.explode(bands).alias("key"))
+    """Verified edges (a, b) among sets: a table of node, bands, marks and shingles in which nodes may repeat."""
+    own = written(sets.groupBy("node").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")), "sets")  # shingles stay where they are
+    keys = own.select("node", F.explode("bands").alias("key"))
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "meetings")
     chunks = F.ceil(F.col("n") / group).cast("int")
     members = keys.join(shared.where("n > 2").select("key", chunks.alias("c")), "key")
-    own = F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))  # a chunk meets each chunk, itself included, once
-    placed = members.select("node", "key", own.alias("own"), other.alias("other")).select("node", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    lists = placed.join(sets.select("node", "sketch"), "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
+    placed = members.select("node", "key", mine.alias("mine"), other.alias("other")).select("node", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    lists = placed.join(own.select("node", "marks"), "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "marks")).alias("members"))
     found = lists.select(F.explode(_forest(F.col("members"))).alias("_")).select("_.a", "_.b")
     pairs = shared.where("n = 2").select("a", "b").union(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     pairs = written(pairs, "candidates")
-    whole = sets.select("node", "shingles").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    whole = written(whole, "candidate-sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = written(sets.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "candidate-sets")
     left = whole.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = whole.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").where(_jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")

@@ -166,12 +166,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     prints = written(rows.select("doc_id", "fp", "_.*"), "sketches")
     pairs = written(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     hubs = written(pairs.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
-    sets = prints.select("node", "n", "sketch", "shingles")
-    sets = written(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in sets.columns[1:])), "sets")
     near = links(hubs.select("fp"), distance, blocks, group)
     near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("ha")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("hb")), "b")
     edges = pairs.join(hubs, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    edges = edges.union(near.select("ha", "hb")).union(resemblance.links(sets, similarity))
+    edges = edges.union(near.select("ha", "hb")).union(resemblance.links(prints, similarity))
     labels = connected_components(edges)
     members = pairs.groupBy("node").agg(F.min("first_id").alias("first_id")).join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     firsts = members.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -42,8 +42,7 @@ def test_near_copies_equal_brute_force(spark, group):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     sets = rows.select("doc_id", resemblance.sketched(F.col("text")).alias("_")).select("doc_id", "_.*")
     node = {r["doc_id"]: r["node"] for r in sets.select("doc_id", "node").collect()}
-    distinct = sets.dropDuplicates(["node"]).select("node", "n", "sketch", "shingles")
-    edges = resemblance.links(distinct, group=group)
+    edges = resemblance.links(sets.select("node", "bands", "marks", "shingles"), group=group)
     label = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
     got = [label.get(node[i], node[i]) for i in range(len(texts))]
     own = _sets(texts)
