@@ -1,6 +1,6 @@
 """Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash blocks can't find these: such texts differ in about 4 to 16 of 64 bits. So each distinct set gets a sketch of
+SimHash blocks can't find these: such texts differ in 4 to 11 of 64 bits as measured. So each distinct set gets a sketch of
 BANDS x ROWS minima; sets that agree in a band of ROWS minima meet (at 0.8 a pair is missed once in about 14,000).
 Two sets that meet alone are verified; of a larger meeting each task emits a maximum spanning forest by the sketches'
 estimate, at most one edge per member and never all pairs. Meetings of over GROUP sets are cut into chunks whose pairs
