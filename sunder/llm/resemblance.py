@@ -3,17 +3,20 @@
 SimHash blocks can't find these: such texts differ in 4 to 11 of 64 bits as measured. So each distinct set gets a sketch of
 BANDS x ROWS minima; sets that agree in a band of ROWS minima meet (at 0.8 a pair is missed once in about 14,000).
 Two sets that meet alone are verified; of a larger meeting each task emits a maximum spanning forest by the sketches'
-estimate, at most one edge per member and never all pairs. Meetings of over GROUP sets are cut into chunks whose pairs
+estimate, at most one edge per member. Meetings of over GROUP sets are cut into chunks whose pairs
 are separate tasks, so no list is unbounded. Every edge is verified by the exact similarity of the whole sets.
 
-Where several sets meet, an edge of the forest that fails stands for weaker estimates that aren't tried: a link can be
-lost if its estimate is below that of a pair that proves to be under 0.8.
+An edge of the forest that fails stands for weaker estimates that may hold. So a second pass verifies all pairs that meet, have an
+estimate of at least FLOOR and aren't in one component by the edges verified first. Copies are joined by the first
+pass and cost no pairs; of unlike texts that meet in great numbers all pairs are verified, as each may be a link.
 
 Defined cases: texts of fewer than five words are one shingle; texts without words equal each other and link to nothing else.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunder.llm.common import written
+from sunder.llm.components import connected_components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Sets of one meeting that a task compares at most with as many others: 120 bytes of marks each.
@@ -109,6 +113,33 @@ def _forest(members: Column) -> Column:
     return forest(members)
 
 
+def _apart(lists: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """All pairs (a, b) of each list's members that have different roots and an estimate of at least floor; of a list of two chunks, those between the chunks."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, across in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                members = group.values
+                node, root, mine = (members.field(f).to_numpy() for f in ("node", "root", "mine"))
+                marks = np.stack([np.frombuffer(m, np.uint8) for m in members.field("marks").to_pylist()])
+                for i in range(len(node) - 1):
+                    rest = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & ((mine[i + 1 :] != mine[i]) if across else True))
+                    rest = rest[(marks[rest] == marks[i]).mean(axis=1) >= floor] if len(rest) else rest
+                    if len(rest):
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(node[rest], node[i]), "b": np.maximum(node[rest], node[i])})
+
+    return lists.select("members", F.col("i") != F.col("j")).mapInArrow(pairs, "a long, b long")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole sets have the similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = written(sets.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "candidate-sets")
+    left = whole.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = whole.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(_jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
+
+
 def _jaccard(x: Column, y: Column) -> Column:
     """The similarity of two sets of shingles; 0 if both are empty."""
 
@@ -138,8 +169,12 @@ def links(sets: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -
     found = lists.select(F.explode(_forest(F.col("members"))).alias("_")).select("_.a", "_.b")
     pairs = shared.where("n = 2").select("a", "b").union(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     pairs = written(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = written(sets.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "candidate-sets")
-    left = whole.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = whole.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(_jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
+    edges = written(_verified(sets, pairs, similarity), "verified")
+    roots = connected_components(edges)
+    members = members.select("node", "key", "c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    mine, place = F.pmod(F.xxhash64("node"), F.col("c")).cast("int"), F.struct("node", "root", "mine", "marks")
+    placed = members.join(parted, "key").select("node", "root", "key", mine.alias("mine"), other.alias("other")).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    lists = placed.join(own.select("node", "marks"), "node").groupBy("key", "i", "j").agg(F.collect_list(place).alias("members"))
+    rest = written(_apart(lists).distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
+    return edges.union(_verified(sets, rest, similarity))

@@ -62,3 +62,22 @@ def test_deduplicated_joins_near_copies(spark):
     assert kept.columns == rows.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 6, 9, 11]
     assert simhash.deduplicated(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group", [40, 1024])
+def test_families_around_the_threshold_equal_brute_force(spark, group):
+    texts = _copies(7, 2, 90, 404, 14)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = rows.select("doc_id", resemblance.sketched(F.col("text")).alias("_")).select("doc_id", "_.*")
+    node = {r["doc_id"]: r["node"] for r in sets.select("doc_id", "node").collect()}
+    edges = resemblance.links(sets.select("node", "bands", "marks", "shingles"), group=group)
+    label = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
+    got = [label.get(node[i], node[i]) for i in range(len(texts))]
+    own, reach = _sets(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if reach[i] != reach[j] and _alike(own[i], own[j]):
+                a, b = reach[i], reach[j]
+                reach = [min(a, b) if r in (a, b) else r for r in reach]
+    print("components", len(set(reach)), "found", len(set(got)))
+    assert len(set(reach)) == len(set(got)) == len(set(zip(reach, got, strict=True)))
