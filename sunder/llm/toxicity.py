@@ -171,17 +171,19 @@ class Channel:
         found: set[str] = set()
         tripled, spaced = _suspicions(text)
         for token in set(text.split()):
-            word = token.strip(_MARKS)
+            word, token = token.strip(_MARKS), token.strip(_OPENING)
             if word.isalpha():
                 found.add(self.decode(word) if tripled and len(word) <= LONGEST and _TRIPLE.search(word) else word)
+                if word != token and len(token) <= LONGEST:  # a look-alike at an end: read with it, too
+                    found.update(self.decode(token).split())
                 continue
-            token = token.rstrip(_MARKS).lstrip(_OPENING)
             parts = _PARTS.findall(token)
             if not parts:
                 continue
             found.update(parts)
             if len(token) <= LONGEST and sum(map(len, parts)) >= 2:
-                found.update(self.decode(token).split())
+                for stretch in {token, word}:  # with the look-alikes at its ends and without
+                    found.update(self.decode(stretch).split())
         if spaced:
             for stretch in _SPACED.findall(text):
                 for i in range(0, len(stretch), 2 * LONGEST):  # a longer one is decoded piece by piece
