@@ -15,7 +15,7 @@ Fitting takes at most FIT_ROWS labelled texts, those of the smallest hashed ids;
 smallest word hash, which near copies have, one of each label counts.
 
 Defined cases: a null, empty or wordless text is scored as one without telling words; without labelled texts the score is 0;
-stretches of over LONGEST characters without white space aren't words and pass as they are; repeated rows get equal scores.
+stretches of over LONGEST characters are decoded as others, but not remembered; numbers are read as words, too; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -49,6 +49,9 @@ _SEPARATORS = " .-_*~'/,"
 _PARTS = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _TWICE = re.compile(r"([^\W\d_])\1+")
+_PIECES = re.compile(rf"(?:[^\W_]|[{re.escape(''.join(c for c in LOOKS_LIKE if not c.isdigit()))}])+")
+#: Two characters that may be letters.
+_LETTERS = re.compile(rf"(?:[^\W\d_]|[{re.escape(''.join(LOOKS_LIKE))}]).*?(?:[^\W\d_]|[{re.escape(''.join(LOOKS_LIKE))}])")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_]|[@$!|+])(?:[ .\-_*~'/,]{1,2}(?:[^\W_]|[@$!|+])){2,}(?!\w)")
 
 _BASE = {"à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "ç": "c", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y"}
@@ -120,7 +123,10 @@ class Channel:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.decode = functools.lru_cache(maxsize=100_000)(self._decode)
+        self._cached = functools.lru_cache(maxsize=100_000)(self._decode)
+
+    def decode(self, stretch: str) -> str:
+        return self._cached(stretch) if len(stretch) <= LONGEST else self._decode(stretch)
 
     @staticmethod
     def lattice(stretch: str) -> list[list[tuple[str, float]]]:
@@ -148,20 +154,24 @@ class Channel:
 
     def _decode(self, stretch: str) -> str:
         """The likeliest reading. Equal ones: the first in the lattice's order."""
-        states = {(0, 0): (0.0, "")}
+        states = {(0, 0): (0.0, None)}  # a path is its last symbol and the path before, so a long stretch costs its length
         for ways in [*self.lattice(stretch), [(" ", 0.0)]]:
-            fresh: dict[tuple[int, int], tuple[float, str]] = {}
+            fresh: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in states.items():
                 for x, price in ways:
                     if x == "" or (x == " " and b == 0):
                         key, total, to = (a, b), cost + price, path
                     else:
                         s = 0 if x == " " else _SYMBOL[o] if (o := ord(x)) < 256 else 27
-                        key, total, to = (b, s), cost + price - self.model[a << 10 | b << 5 | s], path + x
+                        key, total, to = (b, s), cost + price - self.model[a << 10 | b << 5 | s], (path, x)
                     if key not in fresh or total < fresh[key][0]:
                         fresh[key] = total, to
             states = fresh
-        return min(states.values())[1].strip()
+        path, out = min(states.values(), key=lambda s: s[0])[1], []
+        while path:
+            path, x = path
+            out.append(x)
+        return "".join(reversed(out)).strip()
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the restored text, letters said twice written once."""
@@ -173,16 +183,14 @@ class Channel:
         for token in set(text.split()):
             word, token = token.strip(_MARKS), token.strip(_OPENING)
             if word.isalpha():
-                found.add(self.decode(word) if tripled and len(word) <= LONGEST and _TRIPLE.search(word) else word)
-                if word != token and len(token) <= LONGEST:  # a look-alike at an end: read with it, too
+                found.add(self.decode(word) if tripled and _TRIPLE.search(word) else word)
+                if word != token:  # a look-alike at an end: read with it, too
                     found.update(self.decode(token).split())
                 continue
-            parts = _PARTS.findall(token)
-            if not parts:
-                continue
-            found.update(parts)
-            if len(token) <= LONGEST and sum(map(len, parts)) >= 2:
-                for stretch in {token, word}:  # with the look-alikes at its ends and without
+            found.update(_PARTS.findall(token))
+            pieces = [token, *_PIECES.findall(token)]  # as a whole and, where marks part it, piece by piece
+            for stretch in {p for piece in pieces for p in (piece, piece.strip(_MARKS))}:  # with the look-alikes at its ends and without
+                if not stretch.isalpha() and _LETTERS.search(stretch):
                     found.update(self.decode(stretch).split())
         if spaced:
             for stretch in _SPACED.findall(text):

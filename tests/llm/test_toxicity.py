@@ -17,3 +17,10 @@ def test_look_alikes_at_the_ends_of_words(channel):
     cases = [("you $tupid one", "stupid"), ("an @sshole", "ashole"), ("(lown", "clown"), ("an idio+", "idiot"), ("1dio+.", "idiot"), ('"$tup1d"', "stupid")]
     assert not _missed(channel, cases)
     assert not _missed(channel, [("stupid!", "stupid"), ("(idiot)", "idiot"), ("*loser*", "loser"), ("+1diot+", "idiot")])
+
+
+def test_words_without_letters_and_in_long_runs(channel):
+    run = ",".join(["plain"] * 12)
+    cases = [("an 1d!07 here", "idiot"), ("10$3r", "loser"), ("you 4$$h0!3", "ashole"), (f"{run},1d10t,{run}", "idiot"), ("/".join(["word"] * 20 + ["l0ser"]), "loser"), ("aaa;$tupid;bbb", "stupid")]
+    assert not _missed(channel, cases)
+    assert "idiot" in channel.words("x1" * 50_000 + "/1d10t")
