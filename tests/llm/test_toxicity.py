@@ -24,3 +24,9 @@ def test_words_without_letters_and_in_long_runs(channel):
     cases = [("an 1d!07 here", "idiot"), ("10$3r", "loser"), ("you 4$$h0!3", "ashole"), (f"{run},1d10t,{run}", "idiot"), ("/".join(["word"] * 20 + ["l0ser"]), "loser"), ("aaa;$tupid;bbb", "stupid")]
     assert not _missed(channel, cases)
     assert "idiot" in channel.words("x1" * 50_000 + "/1d10t")
+
+
+@pytest.mark.parametrize("gap", [" ", "  "])
+def test_long_spelt_out_texts(channel, gap):
+    words = [[*("loser asshole clown " * 4)[k:].split(), "idiot", "worthless", "stupid"] for k in range(40)]
+    assert not _missed(channel, [(gap.join(map(" ".join, own)), "worthles") for own in words])
