@@ -9,6 +9,8 @@ least LITERALS of its tokens are no placeholders (half the item, if it is shorte
 For each document and item that share a window, the slots are compared: the values that the item has in its placeholders must map one to one onto
 the values that the document has there. An item is found in a document if some window agrees in all its values (a copy), or if the windows that agree in
 their literals only cover at least COVER of the item's windows and their slots map consistently (a re-parameterised question).
+Both are judged over the whole document and over each occurrence, the windows that lie as far apart in the document as in the item: a document
+may hold a question twice with other values, or one with words put in between. The columns are the whole document's if it passes, else the best occurrence's.
 
 Documents are read as arrays of window hashes, one pass without a shuffle; what matches is a small part, and only that is shuffled.
 The benchmark's windows are a written table: the planner broadcasts it only while its files are below its threshold.
@@ -109,17 +111,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     pairs = pairs.withColumn("values", F.slice("bares", F.col("pos") - skipped + 1, F.col("size")))
     low = lambda a: F.transform(a, F.lower)
     slots = F.filter(F.zip_with("temps", F.zip_with(low(F.col("item_values")), low(F.col("values")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda t, v: F.when(t.isin("<num>", "<name>", "<unit>"), v)), lambda s: s.isNotNull())
-    seen = pairs.select("id", "item", "at", "n", (low(F.col("item_values")) == low(F.col("values"))).alias("same"), slots.alias("slots"))
+    seen = pairs.select("id", "item", "at", "n", (F.col("pos") - skipped - F.col("at")).alias("offset"), (low(F.col("item_values")) == low(F.col("values"))).alias("same"), slots.alias("slots"))
+    seen = written(seen, "matches")  # the documents are read once: what matches is written
+    found = _judged(seen).select("*", F.lit(0).alias("rank")).union(_judged(seen, "offset").select("*", F.lit(1).alias("rank")))
+    found = found.groupBy("id", "item").agg(F.min(F.struct("rank", -F.col("windows"), "slots", "copies", "windows", "covered", "consistent")).alias("_"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "_.windows", "_.copies", "_.covered", "_.slots", "_.consistent")
+
+
+def _judged(seen: DataFrame, *by: str) -> DataFrame:
+    """(id, item, windows, copies, covered, slots, consistent) of the items found by the matches of a document, or of each part of it that has the same `by`."""
+    keys = ["id", "item", *by]
+    by_window = seen.groupBy(*keys, "at", "n").agg(F.max("same").alias("same"))
+    counts = by_window.groupBy(*keys, "n").agg(F.count("*").alias("windows"), F.count_if("same").alias("copies"))
     # a document may hold a window often; each way to fill it counts once, so a hot one is combined before the shuffle
-    # the documents are read once: what matches is written
-    seen = written(seen.groupBy("id", "item", "at", "n", "slots").agg(F.max("same").alias("same")), "matches")
-    by_window = seen.groupBy("id", "item", "at", "n").agg(F.max("same").alias("same"))
-    counts = by_window.groupBy("id", "item", "n").agg(F.count("*").alias("windows"), F.count_if("same").alias("copies"))
-    values = seen.select("id", "item", F.explode("slots").alias("s")).select("id", "item", "s.x", "s.y").distinct()
-    maps = values.groupBy("id", "item").agg(F.count("*").alias("slots"), F.count_distinct("x").alias("xs"), F.count_distinct("y").alias("ys"))
-    maps = maps.select(F.col("id").alias("_id"), F.col("item").alias("_item"), "slots", ((F.col("slots") == F.col("xs")) & (F.col("slots") == F.col("ys"))).alias("consistent"))
-    out = counts.join(maps, F.col("id").eqNullSafe(F.col("_id")) & F.col("item").eqNullSafe(F.col("_item")), "left")
-    out = out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "windows", "copies", (F.col("windows") / F.col("n")).alias("covered"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("consistent", F.lit(True)).alias("consistent"))
+    values = seen.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.x", "s.y").distinct()
+    maps = values.groupBy(*keys).agg(F.count("*").alias("slots"), F.count_distinct("x").alias("xs"), F.count_distinct("y").alias("ys"))
+    maps = maps.select(*(F.col(k).alias(f"_{k}") for k in keys), "slots", ((F.col("slots") == F.col("xs")) & (F.col("slots") == F.col("ys"))).alias("consistent"))
+    out = counts.join(maps, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    out = out.select("id", "item", "windows", "copies", (F.col("windows") / F.col("n")).alias("covered"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("consistent", F.lit(True)).alias("consistent"))
     return out.where((F.col("copies") > 0) | (F.col("consistent") & (F.col("covered") >= COVER)))
 
 
