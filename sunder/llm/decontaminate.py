@@ -2,7 +2,7 @@
 
 A text is cut at white space. Each token becomes its lower-cased letters and digits, or a typed placeholder: <num> if it
 begins with a digit, <unit> for a unit of measure right after a number, <name> for a capitalised word within a
-sentence. So a question whose numbers, names or units were exchanged has the same template. Windows of WINDOW template
+sentence. A second template takes the capitalised first words of sentences as names, too; windows of both are matched with both. So a question whose numbers, names or units were exchanged has the same template. Windows of WINDOW template
 tokens, fewer if an item is shorter, are hashed, and documents' windows are joined with the benchmark's. A window counts only if at
 least LITERALS of its tokens are no placeholders (half the item, if it is shorter than the window), and are not all the same word.
 
@@ -10,7 +10,8 @@ For each document and item that share a window, the slots are compared: the valu
 the values that the document has there. An item is found in a document if some window agrees in all its values (a copy), or if the windows that agree in
 their literals only cover at least COVER of the item's windows and their slots map consistently (a re-parameterised question).
 Both are judged over the whole document and over each occurrence, the windows that lie as far apart in the document as in the item: a document
-may hold a question twice with other values, or one with words put in between. The columns are the whole document's if it passes, else the best occurrence's.
+may hold a question twice with other values, or one with words put in between. Either is judged by the matches of the first template alone and by all. The columns are those of
+the first of these four ways that passes, of occurrences the best.
 
 Documents are read as arrays of window hashes, one pass without a shuffle; what matches is a small part, and only that is shuffled.
 The benchmark's windows are a written table: the planner broadcasts it only while its files are below its threshold.
@@ -21,7 +22,9 @@ documents are kept as such; repeated items are found each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunder.llm.common import written
@@ -45,14 +48,19 @@ def bare(token: Column) -> Column:
     return F.trim(token, F.lit("""'"“”‘’«»()[]{}<>.,;:!?¿¡*#&$|_-—–…"""))
 
 
+def capitalised(t: Column) -> Column:
+    """Whether a bare token is a capital and small letters."""
+    capital = ((t >= "A") & (t < "[")) | ((t >= "À") & (t < "ß") & ~t.startswith("×"))
+    return capital & (F.lower(F.substr(t, F.lit(2))) == F.substr(t, F.lit(2)))
+
+
 def templates(bares: Column, before: Column) -> Column:
     """array<string> of template tokens; bares: the bare tokens, before: the token in front of each as it stands, empty for the first."""
     units = F.array(*(F.lit(u) for u in UNITS))
     digit = lambda t: (t >= "0") & (t < ":")  # noqa: E731  begins with one, as strings compare by bytes
-    capital = lambda t: ((t >= "A") & (t < "[")) | ((t >= "À") & (t < "ß") & ~t.startswith("×"))
 
     def one(t: Column, b: Column) -> Column:
-        name = capital(t) & (b != "") & ~F.right(b, F.lit(1)).isin(".", "!", "?", ":", "|") & (F.lower(F.substr(t, F.lit(2))) == F.substr(t, F.lit(2)))
+        name = capitalised(t) & (b != "") & ~F.right(b, F.lit(1)).isin(".", "!", "?", ":", "|")
         return F.when(digit(t), "<num>").when(name, "<name>").when(digit(b) & F.array_contains(units, F.lower(t)), "<unit>").otherwise(F.lower(t))
 
     return F.zip_with(bares, before, one)
@@ -76,17 +84,25 @@ def _hashed(temps: str) -> Column:
     return F.transform(F.col(temps), lambda t: F.xxhash64(t))
 
 
+def _loose(temps: str) -> Column:
+    """The templates, or hashes of them, with the first words of sentences as names, too."""
+    name = F.xxhash64(F.lit("<name>")) if temps == "hashes" else F.lit("<name>")
+    return F.zip_with(temps, "bares", lambda t, b: F.when(capitalised(b), name).otherwise(t))
+
+
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(w, item, at, size, n, values): the windows that count, n being the item's count of them, values its words in the window."""
-    items = _marked(benchmark, item_id, text).withColumn("size", F.least(F.lit(WINDOW), F.size("bares"))).where("size > 0").withColumn("hashes", _hashed("temps"))
-    each = items.select("id", "size", "bares", "temps", F.posexplode(_windows("hashes", "size")).alias("at", "w"))
+    """(w, item, at, size, loose, item_values, temps, n): the windows that count, n being the item's count of places of them, item_values its words in the window, loose whether the first words of sentences are names there."""
+    items = _marked(benchmark, item_id, text).withColumn("size", F.least(F.lit(WINDOW), F.size("bares"))).where("size > 0")
+    items = items.withColumn("loose", F.lit(0)).union(items.withColumn("temps", _loose("temps")).withColumn("loose", F.lit(1))).withColumn("hashes", _hashed("temps"))
+    each = items.select("id", "size", "bares", "temps", "loose", F.posexplode(_windows("hashes", "size")).alias("at", "w"))
     window = F.slice("temps", F.col("at") + 1, F.col("size"))
     literals = F.filter(window, lambda t: ~t.isin("<num>", "<name>", "<unit>"))
     needed = F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2))
     each = each.where((F.size(literals) >= needed) & ((F.size(F.array_distinct(literals)) >= F.least(F.lit(3), F.col("size")))))
     values = F.slice("bares", F.col("at") + 1, F.col("size"))
-    each = each.select("w", F.col("id").alias("item"), "at", "size", values.alias("item_values"), window.alias("temps"))
-    return each.join(each.groupBy("item").agg(F.count("*").alias("n")).withColumnRenamed("item", "_i"), F.col("item").eqNullSafe(F.col("_i"))).drop("_i")
+    each = each.select("w", F.col("id").alias("item"), "at", "size", "loose", values.alias("item_values"), window.alias("temps"))
+    each = each.withColumn("twin", F.min("loose").over(Window.partitionBy("item", "at", "w"))).where("loose = twin").drop("twin")  # where both are the same, one
+    return each.join(each.where("loose = 0").groupBy("item").agg(F.count("*").alias("n")).withColumnRenamed("item", "_i"), F.col("item").eqNullSafe(F.col("_i"))).drop("_i")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -101,9 +117,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     wanted = items.select("w").distinct()
     if items.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)  # 8 bytes each
-    # a document's windows of each size, one size after the other
-    every = F.concat(*(_windows("hashes", str(s)) for s in sizes)) if sizes else F.array().cast("array<bigint>")
+    # a document's windows of each size, one size after the other, then those with the first words of sentences as names, null where they are the same
+    row = row.withColumn("other", _loose("hashes"))
+    both = [(_windows("hashes", str(s)), _windows("other", str(s))) for s in sizes]
+    every = F.concat(*(w for w, _ in both), *(F.zip_with(w, o, lambda x, y: F.when(x != y, y)) for w, o in both)) if sizes else F.array().cast("array<bigint>")
     spots = row.select("id", "bares", F.posexplode(every).alias("pos", "w")).join(wanted, "w", "left_semi")
+    strict = F.lit(0)
+    for s in sizes:
+        strict = strict + F.greatest(F.lit(0), F.size("bares") - (s - 1))
+    spots = spots.withColumn("named", F.col("pos") >= strict).withColumn("pos", F.col("pos") - F.when(F.col("named"), strict).otherwise(0))
     pairs = spots.join(items, "w")
     skipped = F.lit(0)
     for s in sizes:
@@ -111,9 +133,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     pairs = pairs.withColumn("values", F.slice("bares", F.col("pos") - skipped + 1, F.col("size")))
     low = lambda a: F.transform(a, F.lower)
     slots = F.filter(F.zip_with("temps", F.zip_with(low(F.col("item_values")), low(F.col("values")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda t, v: F.when(t.isin("<num>", "<name>", "<unit>"), v)), lambda s: s.isNotNull())
-    seen = pairs.select("id", "item", "at", "n", (F.col("pos") - skipped - F.col("at")).alias("offset"), (low(F.col("item_values")) == low(F.col("values"))).alias("same"), slots.alias("slots"))
+    seen = pairs.select("id", "item", "at", "n", (F.col("pos") - skipped - F.col("at")).alias("offset"), (F.col("named") | (F.col("loose") > 0)).alias("loose"), (low(F.col("item_values")) == low(F.col("values"))).alias("same"), slots.alias("slots"))
     seen = written(seen, "matches")  # the documents are read once: what matches is written
-    found = _judged(seen).select("*", F.lit(0).alias("rank")).union(_judged(seen, "offset").select("*", F.lit(1).alias("rank")))
+    # a place that agrees without names at the beginnings of sentences is taken so
+    seen = seen.groupBy("id", "item", "at", "n", "offset").agg(F.min(F.struct("loose", "slots", "same")).alias("_")).select("id", "item", "at", "n", "offset", "_.*")
+    strictly, ways = seen.where("not loose"), []
+    for rank, (matches, by) in enumerate(((strictly, []), (strictly, ["offset"]), (seen, []), (seen, ["offset"]))):
+        ways.append(_judged(matches, *by).withColumn("rank", F.lit(rank)))
+    found = reduce(DataFrame.union, ways)
     found = found.groupBy("id", "item").agg(F.min(F.struct("rank", -F.col("windows"), "slots", "copies", "windows", "covered", "consistent")).alias("_"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "_.windows", "_.copies", "_.covered", "_.slots", "_.consistent")
 

@@ -15,3 +15,12 @@ def test_question_twice_with_other_values(spark):
     mixed = ITEM.replace("120", "9").replace("Berlin", "Rome").replace("Hamburg", "Rome")
     got = _found(spark, ITEM, f"{one}. And then: {two}", f"{one} {mixed}", mixed, "how fast does it go on average then")
     assert got.keys() == {0, 1} and got[0]["consistent"] and got[0]["covered"] >= 0.5
+
+
+def test_names_at_the_beginning_of_sentences(spark):
+    item = "Tom has 3 apples. Sue has 4 pears. Tom gives Sue 2 of them. Sue eats 1 pear now. Tom asks how many are left."
+    swap = lambda t, **names: " ".join(names.get(w, w) for w in t.split())
+    other = swap(item, Tom="Ann", Sue="Joe").replace("3", "7").replace("4", "9")
+    clash = swap(item, Tom="Ann", Sue="Ann")
+    got = _found(spark, item, other, f"And so {other}", clash, item, item.replace("3", "8"), "The pears are ripe. The apples are not. We left them there.")
+    assert got.keys() == {0, 1, 3, 4}
