@@ -11,8 +11,8 @@ beginning of 4 to 7 letters. A feature's toxic share among the labelled texts mu
 features tried. A text is toxic unless all its telling words are innocent: 1 - prod(1 - share) over its distinct
 words, the best feature of each. Without one the score is the toxic share of such texts.
 
-Fitting takes at most FIT_ROWS labelled texts, those of the smallest hashed ids; of those with the same
-smallest word hash, which near copies have, one of each label counts.
+Fitting takes at most FIT_ROWS labelled texts, those of the smallest hashed ids; of those whose five-word
+shingles have the same first band of minima, as most near copies do and unlike texts don't, one of each label counts.
 
 Defined cases: a null, empty or wordless text is scored as one without telling words; without labelled texts the score is 0;
 stretches of over LONGEST characters are decoded as others, but not remembered; numbers are read as words, too; repeated rows get equal scores.
@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sunder.llm import resemblance
 from sunder.llm.common import held_out, small_batches, written
 
 FIT_ROWS, THRESHOLD, LONGEST = 10_000, 0.5, 40
@@ -240,7 +241,7 @@ class Model:
 
 
 def _signature(text: str | None) -> int:
-    return min((xxhash.xxh64_intdigest(w) >> 1 for w in set((text or "").split())), default=0)
+    return xxhash.xxh64_intdigest(resemblance.minima(resemblance.shingle_hashes(text))[: resemblance.ROWS].tobytes()) >> 1
 
 
 def _counted(rows: DataFrame, channel: Channel, only: set[str] | None) -> Counter:

@@ -30,3 +30,12 @@ def test_words_without_letters_and_in_long_runs(channel):
 def test_long_spelt_out_texts(channel, gap):
     words = [[*("loser asshole clown " * 4)[k:].split(), "idiot", "worthless", "stupid"] for k in range(40)]
     assert not _missed(channel, [(gap.join(map(" ".join, own)), "worthles") for own in words])
+
+
+def test_only_near_copies_are_merged():
+    texts = [" ".join(["shared", *(f"w{i}x{j}" for j in range(300))]) for i in range(40)]
+    least = min({w for t in texts for w in t.split()}, key=lambda w: toxicity.xxhash.xxh64_intdigest(w))
+    own = [toxicity._signature(f"{t} {least}") for t in texts]
+    assert len(set(own)) == len(texts)
+    near = [toxicity._signature(f"{t} {least} end") for t in texts]
+    assert sum(a == b for a, b in zip(own, near, strict=True)) >= 0.8 * len(texts)
