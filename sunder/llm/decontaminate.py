@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions.
 
 A text is cut at white space. Each token becomes its lower-cased letters and digits, or a typed placeholder: <num> if it
-begins with a digit, <unit> for a unit of measure right after a number, <name> for a capitalised word within a
+begins with a digit or is a number word, <unit> for a unit of measure right after a number, <name> for a capitalised word within a
 sentence. A second template takes the capitalised first words of sentences as names, too; windows of both are matched with both. So a question whose numbers, names or units were exchanged has the same template. Windows of WINDOW template
 tokens, fewer if an item is shorter, are hashed, and documents' windows are joined with the benchmark's. A window counts only if at
 least LITERALS of its tokens are no placeholders (half the item, if it is shorter than the window), and are not all the same word.
@@ -13,11 +13,13 @@ Both are judged over the whole document and over each occurrence, the windows th
 may hold a question twice with other values, or one with words put in between. Either is judged by the matches of the first template alone and by all. The columns are those of
 the first of these four ways that passes, of occurrences the best.
 
-Documents are read as arrays of window hashes, one pass without a shuffle; what matches is a small part, and only that is shuffled.
+Documents are read as arrays of window hashes, one pass without a shuffle; what matches is a small part, and only that is shuffled, each match with
+the words of its own window. Up to BROADCAST_WINDOWS hashes of the benchmark are broadcast; of more, hashed bits of a bounded size are, which let few others through.
 The benchmark's windows are a written table: the planner broadcasts it only while its files are below its threshold.
 
 Defined cases: a null or empty document has no window and is clean; items without a token match nothing; null ids of
-documents are kept as such; repeated items are found each.
+documents and of items are kept as such, rows that share one being one document or item; repeated items are found each; empty tables give
+no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunder.llm.common import written
+from sunder.llm.common import flagged, scratch, sifted, unused, written
 
 WINDOW, LITERALS, COVER = 8, 5, 0.5
-#: The most benchmark windows whose hashes are broadcast; more are joined by a shuffle of the documents' windows.
+#: The most benchmark windows whose hashes are broadcast, 8 bytes each.
 BROADCAST_WINDOWS = 1_000_000
 
 #: Units of measure, as written after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs ms hz khz mhz ghz w kw mw j kj cal kcal pa kpa v a ohm mol percent % usd eur gbp dollars euros pounds cents miles meters metres kilometers kilometres feet inches yards seconds minutes hours days weeks months years degrees grams kilograms liters litres gallons".split()
+#: Number words.
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 
 
 def tokens(text: Column) -> Column:
@@ -56,12 +60,11 @@ def capitalised(t: Column) -> Column:
 
 def templates(bares: Column, before: Column) -> Column:
     """array<string> of template tokens; bares: the bare tokens, before: the token in front of each as it stands, empty for the first."""
-    units = F.array(*(F.lit(u) for u in UNITS))
-    digit = lambda t: (t >= "0") & (t < ":")  # noqa: E731  begins with one, as strings compare by bytes
+    number = lambda t: ((t >= "0") & (t < ":")) | F.lower(t).isin(NUMBERS)  # noqa: E731  begins with a digit, as strings compare by bytes
 
     def one(t: Column, b: Column) -> Column:
         name = capitalised(t) & (b != "") & ~F.right(b, F.lit(1)).isin(".", "!", "?", ":", "|")
-        return F.when(digit(t), "<num>").when(name, "<name>").when(digit(b) & F.array_contains(units, F.lower(t)), "<unit>").otherwise(F.lower(t))
+        return F.when(number(t), "<num>").when(name, "<name>").when(F.lower(t).isin(UNITS) & number(b), "<unit>").otherwise(F.lower(t))
 
     return F.zip_with(bares, before, one)
 
@@ -111,30 +114,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     windows counts the item's windows that the document shares, copies those that agree in every value, covered is their
     part of the item's windows, slots the distinct placeholder values, consistent whether these map one to one.
     """
-    items = written(benchmark_windows(benchmark, item_id, item_text), "items")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
-    row = _marked(docs, doc_id, text).withColumn("hashes", _hashed("temps"))
-    wanted = items.select("w").distinct()
-    if items.count() <= BROADCAST_WINDOWS:
-        wanted = F.broadcast(wanted)  # 8 bytes each
-    # a document's windows of each size, one size after the other, then those with the first words of sentences as names, null where they are the same
-    row = row.withColumn("other", _loose("hashes"))
-    both = [(_windows("hashes", str(s)), _windows("other", str(s))) for s in sizes]
-    every = F.concat(*(w for w, _ in both), *(F.zip_with(w, o, lambda x, y: F.when(x != y, y)) for w, o in both)) if sizes else F.array().cast("array<bigint>")
-    spots = row.select("id", "bares", F.posexplode(every).alias("pos", "w")).join(wanted, "w", "left_semi")
-    strict = F.lit(0)
-    for s in sizes:
-        strict = strict + F.greatest(F.lit(0), F.size("bares") - (s - 1))
-    spots = spots.withColumn("named", F.col("pos") >= strict).withColumn("pos", F.col("pos") - F.when(F.col("named"), strict).otherwise(0))
-    pairs = spots.join(items, "w")
-    skipped = F.lit(0)
-    for s in sizes:
-        skipped = skipped + F.when(F.col("size") > s, F.greatest(F.lit(0), F.size("bares") - (s - 1))).otherwise(0)
-    pairs = pairs.withColumn("values", F.slice("bares", F.col("pos") - skipped + 1, F.col("size")))
-    low = lambda a: F.transform(a, F.lower)
-    slots = F.filter(F.zip_with("temps", F.zip_with(low(F.col("item_values")), low(F.col("values")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda t, v: F.when(t.isin("<num>", "<name>", "<unit>"), v)), lambda s: s.isNotNull())
-    seen = pairs.select("id", "item", "at", "n", (F.col("pos") - skipped - F.col("at")).alias("offset"), (F.col("named") | (F.col("loose") > 0)).alias("loose"), (low(F.col("item_values")) == low(F.col("values"))).alias("same"), slots.alias("slots"))
-    seen = written(seen, "matches")  # the documents are read once: what matches is written
+    with scratch() as kept:
+        items = written(benchmark_windows(benchmark, item_id, item_text), "items")
+        seen = written(_matches(docs, items, doc_id, text), "matches")  # the documents are read once: what matches is written
+        kept.append(seen)
     # a place that agrees without names at the beginnings of sentences is taken so
     seen = seen.groupBy("id", "item", "at", "n", "offset").agg(F.min(F.struct("loose", "slots", "same")).alias("_")).select("id", "item", "at", "n", "offset", "_.*")
     strictly, ways = seen.where("not loose"), []
@@ -145,6 +128,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "_.windows", "_.copies", "_.covered", "_.slots", "_.consistent")
 
 
+def _matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, item, at, n, offset, loose, same, slots): a row for each place of a document at which a window of the benchmark stands."""
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
+    # a document's windows of each size, one size after the other, then those with the first words of sentences as names, null where they are the same
+    row = _marked(docs, doc_id, text).withColumn("hashes", _hashed("temps")).withColumn("other", _loose("hashes"))
+    both = [(_windows("hashes", str(s)), _windows("other", str(s))) for s in sizes]
+    every = F.concat(*(w for w, _ in both), *(F.zip_with(w, o, lambda x, y: F.when(x != y, y)) for w, o in both)) if sizes else F.array().cast("array<bigint>")
+    spots = row.select("id", "bares", F.posexplode(every).alias("pos", "w"))
+    wanted = items.select("w").distinct()
+    spots = spots.join(F.broadcast(wanted), "w", "left_semi") if items.count() <= BROADCAST_WINDOWS else sifted(spots, "w", wanted)
+    # from the position to the window's size and place
+    counts = {s: F.greatest(F.lit(0), F.size("bares") - (s - 1)) for s in sizes}
+    strict = reduce(lambda x, y: x + y, counts.values(), F.lit(0))
+    spots = spots.withColumn("named", F.col("pos") >= strict).withColumn("pos", F.col("pos") - F.when(F.col("named"), strict).otherwise(0))
+    size, place, before = F.lit(0), F.lit(0), F.lit(0)
+    for s, n in counts.items():
+        inside = F.col("pos") >= before
+        size, place, before = F.when(inside, F.lit(s)).otherwise(size), F.when(inside, F.col("pos") - before).otherwise(place), before + n
+    spots = spots.select("id", "w", "named", size.alias("_size"), place.alias("place"), "bares")
+    spots = spots.select("id", "w", "named", "_size", "place", F.slice("bares", F.col("place") + 1, F.col("_size")).alias("values"))
+    pairs = spots.join(items, "w").where("_size = size")
+    low = lambda a: F.transform(a, F.lower)
+    slots = F.filter(F.zip_with("temps", F.zip_with(low(F.col("item_values")), low(F.col("values")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda t, v: F.when(t.isin("<num>", "<name>", "<unit>"), v)), lambda s: s.isNotNull())
+    return pairs.select("id", "item", "at", "n", (F.col("place") - F.col("at")).alias("offset"), (F.col("named") | (F.col("loose") > 0)).alias("loose"), (low(F.col("item_values")) == low(F.col("values"))).alias("same"), slots.alias("slots"))
+
+
 def _judged(seen: DataFrame, *by: str) -> DataFrame:
     """(id, item, windows, copies, covered, slots, consistent) of the items found by the matches of a document, or of each part of it that has the same `by`."""
     keys = ["id", "item", *by]
@@ -161,5 +170,15 @@ def _judged(seen: DataFrame, *by: str) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold an item; rows without an id stay, as they can't be told apart."""
-    found = written(contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_found")).distinct(), "leaks")
-    return docs.join(found, F.col(doc_id) == F.col("_found"), "left_anti")
+    name = unused("_found", docs)
+    with scratch() as kept:
+        kept.append(written(contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct(), "leaks"))
+    return _without(docs, doc_id, kept[0])
+
+
+def _without(docs: DataFrame, doc_id: str, found: DataFrame) -> DataFrame:
+    """Only rows whose id may be among those found are shuffled with their texts."""
+    flag, (name,) = unused("_flag", docs), found.columns
+    marked = flagged(docs, doc_id, found, flag)
+    rest = marked.where(flag).drop(flag).join(found.hint("shuffle_hash"), F.col(doc_id) == F.col(name), "left_anti")
+    return marked.where(~F.col(flag)).drop(flag).unionByName(rest)
