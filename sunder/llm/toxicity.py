@@ -1,7 +1,8 @@
 """Toxicity with noisy-channel deobfuscation.
 
 Hidden words are restored first. What was written is taken as what a noisy channel made of what was meant: letters
-exchanged for look-alikes, set apart by blanks or marks, or repeated. Each suspicious stretch becomes a lattice of the characters
+exchanged for look-alikes, set apart by blanks or marks, or repeated. Compatibility forms (full-width letters and such) are folded by NFKC, and invisible
+characters and combining marks left out, before. Look-alikes of other scripts are read as themselves and as Latin letters, where no other letter tells that the word is of that script. Each suspicious stretch becomes a lattice of the characters
 it may stand for, and Viterbi decoding finds the reading that is likeliest under a character trigram model, exactly,
 as a state is the last two characters. The trigrams are counted over all documents: each task sums a table of 32^3
 cells, so what is gathered grows with the input and what reaches the driver doesn't. Words of letters only have one reading and pass as they are.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,6 +47,11 @@ LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "h", "€": "e", "£": "l", "¡": "i",
 }
+#: Cyrillic, Greek and Armenian letters and the Latin ones they look like.
+HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "ѵ": "v", "ѡ": "w", "х": "x", "у": "y", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "օ": "o", "ո": "n", "ս": "u"}
+_FOREIGN = re.compile(f"[{''.join(HOMOGLYPHS)}]")
+#: Soft hyphen, combining marks, invisible characters, letter-like symbols, circled, full-width and mathematical letters.
+_ODD = re.compile("[\u00ad\u0300-\u036f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u2100-\u214f\u24b6-\u24e9\ufe00-\ufe0f\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»“”‘’…–—€£"
 _SEPARATORS = " .-_*~'/,"
 _PARTS = re.compile(r"[^\W\d_]+")
@@ -63,6 +70,18 @@ _SYMBOL = bytes(ord(c) - 96 if "a" <= (c := _BASE.get(chr(i), chr(i))) <= "z" el
 _GAP = np.array([chr(i).isspace() or chr(i) in _SEPARATORS for i in range(256)])
 
 
+def folded(text: str) -> str:
+    """Lower-cased, compatibility forms folded, without invisible characters and marks that combine with no letter of their own."""
+    if not text.isascii() and _ODD.search(text):
+        text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) not in ("Cf", "Mn"))
+    return text.lower()
+
+
+def _disguised(word: str) -> bool:
+    """Whether a word has look-alikes of other scripts and no other letter of them."""
+    return bool(_FOREIGN.search(word)) and all(c in HOMOGLYPHS or c < "\u0250" for c in word)
+
+
 def symbols(text: str) -> np.ndarray:
     """A word boundary, the text's symbols, two boundaries."""
     return np.frombuffer(b"\0\0" + text.lower().encode("latin-1", "replace").translate(_SYMBOL) + b"\0\0", np.uint8).astype(np.int32)
@@ -136,7 +155,8 @@ class Channel:
         for i, c in enumerate(stretch):
             if c.isalpha():
                 twice = c == before
-                out.append([(c, 0.7), ("", 0.7)] if twice else [(c, 0.0)])
+                ways = [(c, 0.7), ("", 0.7)] if twice else [(c, 0.0)]
+                out.append(ways + [(HOMOGLYPHS[c], 0.7 if twice else 0.5)] if c in HOMOGLYPHS else ways)
             elif c in LOOKS_LIKE:
                 ways = [(x, 0.5 + math.log(len(LOOKS_LIKE[c]))) for x in LOOKS_LIKE[c]]
                 if c == before:
@@ -178,13 +198,16 @@ class Channel:
         """The distinct words of the restored text, letters said twice written once."""
         if not text:
             return set()
-        text = text.lower()
+        text = folded(text)
         found: set[str] = set()
         tripled, spaced = _suspicions(text)
+        foreign = not text.isascii() and _FOREIGN.search(text)
         for token in set(text.split()):
             word, token = token.strip(_MARKS), token.strip(_OPENING)
             if word.isalpha():
                 found.add(self.decode(word) if tripled and _TRIPLE.search(word) else word)
+                if foreign and _disguised(word):
+                    found.update(self.decode(word).split())
                 if word != token:  # a look-alike at an end: read with it, too
                     found.update(self.decode(token).split())
                 continue

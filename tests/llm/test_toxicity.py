@@ -39,3 +39,13 @@ def test_only_near_copies_are_merged():
     assert len(set(own)) == len(texts)
     near = [toxicity._signature(f"{t} {least} end") for t in texts]
     assert sum(a == b for a, b in zip(own, near, strict=True)) >= 0.8 * len(texts)
+
+
+def test_other_scripts_and_invisible_characters(channel):
+    cases = [("an іdiоt", "idiot"), ("lоsеr", "loser"), ("st​up­id one", "stupid"), ("ｓｔｕｐｉｄ", "stupid"), ("i̶d̶i̶o̶t̶", "idiot"), ("𝐥𝐨𝐬𝐞𝐫", "loser"), ("lοs3r", "loser"), ("s​ t u​ p i d", "stupid")]
+    assert not _missed(channel, cases)
+    assert "привет" in channel.words("привет мир")  # a Cyrillic word stays
+
+
+def test_words_of_over_forty_characters(channel):
+    assert not _missed(channel, [("x" * 41 + " 1d1ot", "idiot"), ("an_1d1ot_" + "and_" * 20, "idiot"), ("_".join(["plain"] * 30 + ["l0ser"]), "loser")])
