@@ -5,14 +5,15 @@ at. With class prior p and a score f, the risk is p E+[l(f)] + max(0, Eu[l(-f)]
 texts cost as negatives, less what the positives among them do, but never below zero (Kiryo et al., 2017). f is linear in
 standardised features of the text and their squares, l the logistic loss, so sigmoid(f) is the score.
 
-The prior is the share of quality 1 among the labelled rows that may be learned from; if they have one class only, it is the
-Elkan-Noto estimate: the unlabelled texts' mean score over the positives' mean score, of a classifier of labelled against unlabelled.
+The prior is estimated from positives and unlabelled texts, too (Elkan and Noto, 2008): the unlabelled texts' mean score over the
+positives' mean score, of a classifier of positives against unlabelled. Labels of 0 are read nowhere.
 
-Fitting takes at most FIT_ROWS positives and as many unlabelled texts, those of the smallest hashed ids; their
-features go to the driver, 24 numbers each. Scoring is one pass over the whole texts without a shuffle.
+Fitting takes at most FIT_ROWS positives and as many unlabelled texts, those of the smallest hashed ids, one row of each id;
+their features go to the driver, 24 numbers each. Scoring is one pass over the whole texts without a shuffle.
 
 Defined cases: a null, empty or blank text has all features zero and is scored by them; with no positives at all the
-score is 0.5 everywhere; repeated rows get equal scores.
+score is 0.5 everywhere; repeated rows get equal scores; of rows that share an id the one with the least features is learned from, and
+rows without an id never are; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -87,38 +88,39 @@ def minimise(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500, ra
     w, m, v = model.weights, np.zeros_like(model.weights), np.zeros_like(model.weights)
     w[0] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        rest = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
-        as_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        g = prior * (p.T @ (sp - 1)) / len(p) + as_negative if rest >= 0 else -as_negative
+        _, g = risk(w, p, u, prior)
         g = g + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return model
 
 
-def class_prior(labels: DataFrame, xp: np.ndarray, xu: np.ndarray) -> float:
-    """labels: a column y of the rows that may be learned from."""
-    ones, n = labels.agg(F.sum("y"), F.count("y")).first()
-    if ones and ones < n:
-        prior = ones / n
-    else:
-        share = len(xp) / (len(xp) + len(xu))
-        known = minimise(xp, np.concatenate([xp, xu]), share)
-        prior = float(known.score(xu).mean() / max(known.score(xp).mean(), 1e-6))
-    return min(max(prior, 0.05), 0.98)
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of weights w over inputs of positives and unlabelled, and the step's direction: its slope, or if the second part is below zero, what raises that."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    own = -prior * np.log(np.maximum(sp, 1e-12)).mean()
+    rest = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
+    as_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+    return own + max(0.0, rest), prior * (p.T @ (sp - 1)) / len(p) + as_negative if rest >= 0 else -as_negative
+
+
+def class_prior(xp: np.ndarray, xu: np.ndarray) -> float:
+    """The share of positives among the unlabelled."""
+    share = len(xp) / (len(xp) + len(xu))
+    known = minimise(xp, np.concatenate([xp, xu]), share)  # at this prior the risk is that of plain logistic regression
+    return min(max(float(known.score(xu).mean() / max(known.score(xp).mean(), 1e-6)), 0.05), 0.98)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Model | None:
     """None without a positive. Of the labels, those of held-out rows aren't read."""
     small_batches(docs.sparkSession)
-    known = labels.where(~held_out(F.col(doc_id)) & F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y"))
+    known = labels.where(~held_out(F.col(doc_id)) & (F.col(label).cast("int") == 1)).select(F.col(doc_id).alias("_id"))
     few = lambda ids: ids.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # noqa: E731  a bounded sample, the same in any order of rows
-    positive = few(known.where("y = 1").select("_id").distinct())
+    positive = few(known.distinct())
     unlabelled = few(docs.where(~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id")).distinct())
     chosen = positive.withColumn("p", F.lit(1)).union(unlabelled.withColumn("p", F.lit(0))).groupBy("_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
     some = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")  # 2 * rows ids at most
-    got = some.select("p", "u", feature_column(F.col("_text")).alias("x")).toArrow()
+    got = some.select("_id", "p", "u", feature_column(F.col("_text")).alias("x")).groupBy("_id", "p", "u").agg(F.min("x").alias("x")).toArrow()  # ids may repeat
     if not len(got):
         return None
     x = got["x"].combine_chunks().values.to_numpy().reshape(-1, FEATURES)
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     x, p, u = x[order], p[order], u[order]
     if not p.any() or not u.any():
         return None
-    return minimise(x[p], x[u], class_prior(known, x[p], x[u]))
+    return minimise(x[p], x[u], class_prior(x[p], x[u]))
 
 
 def score(text: Column, model: Model | None) -> Column:
