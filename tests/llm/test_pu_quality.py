@@ -28,11 +28,14 @@ def test_slope_by_finite_differences():
     for i in range(7):
         e = np.eye(7)[i] * 1e-6
         assert abs((pu.risk(w + e, p, u, 0.4)[0] - pu.risk(w - e, p, u, 0.4)[0]) / 2e-6 - slope[i]) < 1e-6
-    # below zero the step goes against the second part, which then doesn't count in the risk
-    steep = np.array([-9.0, -9, -9, -9, 0, 0, 0])
-    su, sp = pu._sigmoid(u @ steep), pu._sigmoid(p @ steep)
-    rest = -np.log(1 - su).mean() + 0.95 * np.log(1 - sp).mean()
-    assert rest < 0 and np.allclose(pu.risk(steep, p, u, 0.95)[1], -(u.T @ su / len(u) - 0.95 * (p.T @ sp) / len(p)))
+
+
+def test_step_where_the_second_part_is_below_zero():
+    p, u, w = np.array([[1.0, 2.0]]), np.array([[1.0, -2.0]]), np.array([0.0, 1.0])  # positives score high, unlabelled ones low
+    su, sp = pu._sigmoid(u @ w), pu._sigmoid(p @ w)
+    assert -np.log(1 - su).mean() + 0.5 * np.log(1 - sp).mean() < 0
+    value, step = pu.risk(w, p, u, 0.5)
+    assert np.isclose(value, -0.5 * np.log(sp).mean()) and np.allclose(step, -(u.T @ su - 0.5 * (p.T @ sp)))
 
 
 def test_rows_to_the_driver_are_bounded(spark):
