@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,48 +59,64 @@ def capitalised(t: Column) -> Column:
     return capital & (F.lower(F.substr(t, F.lit(2))) == F.substr(t, F.lit(2)))
 
 
-def templates(bares: Column, before: Column) -> Column:
-    """array<string> of template tokens; bares: the bare tokens, before: the token in front of each as it stands, empty for the first."""
-    number = lambda t: ((t >= "0") & (t < ":")) | F.lower(t).isin(NUMBERS)  # noqa: E731  begins with a digit, as strings compare by bytes
+def _hash(word: str) -> int:
+    """Spark's xxhash64 of a string."""
+    x = xxhash.xxh64_intdigest(word.encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
 
-    def one(t: Column, b: Column) -> Column:
-        name = capitalised(t) & (b != "") & ~F.right(b, F.lit(1)).isin(".", "!", "?", ":", "|")
-        return F.when(number(t), "<num>").when(name, "<name>").when(F.lower(t).isin(UNITS) & number(b), "<unit>").otherwise(F.lower(t))
 
-    return F.zip_with(bares, before, one)
+NUM, NAME, UNIT = map(_hash, ("<num>", "<name>", "<unit>"))
+_TYPED = (NUM, NAME, UNIT)
 
 
 def _marked(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, bares, temps): one row for each text."""
-    words = docs.select(F.col(ident).alias("id"), tokens(F.col(text)).alias("words"))
-    shifted = F.slice(F.concat(F.array(F.lit("")), F.col("words")), F.lit(1), F.size("words"))
-    words = words.select("id", F.transform("words", bare).alias("bares"), shifted.alias("before"))
-    return words.select("id", "bares", templates(F.col("bares"), F.col("before")).alias("temps"))
+    """(id, bares, strict, loose): one row for each text. bares are its bare tokens, the others its templates, as hashes of template tokens; loose takes the first words of sentences as names, too.
 
-
-def _windows(hashes: str, size: str) -> Column:
-    """array<bigint>: a hash of each window of `size` token hashes, which also tells the size; none if there are fewer."""
-    parts = ", ".join(f"CASE WHEN {k} < {size} THEN {hashes}[i + {k}] END" if k else f"{hashes}[i]" for k in range(WINDOW))
-    return F.expr(f"CASE WHEN size({hashes}) >= {size} THEN transform(sequence(0, size({hashes}) - {size}), i -> xxhash64({size}, {parts})) ELSE array() END")
-
-
-def _hashed(temps: str) -> Column:
-    return F.transform(F.col(temps), lambda t: F.xxhash64(t))
-
-
-def _loose(temps: str) -> Column:
-    """The templates, or hashes of them, with the first words of sentences as names, too."""
-    name = F.xxhash64(F.lit("<name>")) if temps == "hashes" else F.lit("<name>")
-    return F.zip_with(temps, "bares", lambda t, b: F.when(capitalised(b), name).otherwise(t))
+    Words become hashes early, as comparing longs is cheap; each step is a column of its own, so that none is evaluated twice.
+    """
+    out = docs.select(F.col(ident).alias("id"), tokens(F.col(text)).alias("words"))
+    before = F.slice(F.concat(F.array(F.lit("")), F.col("words")), F.lit(1), F.size("words"))  # the token in front of each as it stands
+    out = out.select("id", F.transform("words", bare).alias("bares"), F.transform(before, lambda b: (b != "") & ~F.right(b, F.lit(1)).isin(".", "!", "?", ":", "|")).alias("within"))
+    # a token that begins with a digit is a number; strings compare by bytes
+    hashes = F.transform("bares", lambda t: F.when((t >= "0") & (t < ":"), F.lit(NUM)).otherwise(F.xxhash64(F.lower(t))))
+    out = out.select("id", "bares", "within", F.transform("bares", capitalised).alias("capital"), hashes.alias("hashes"))
+    out = out.select("id", "bares", "capital", "hashes", F.zip_with("capital", "within", lambda c, w: c & w).alias("name"))
+    kinds = F.zip_with("hashes", "name", lambda h, n: F.when(h.isin([_hash(x) for x in NUMBERS]), F.lit(NUM)).when(n, F.lit(NAME)).otherwise(h))
+    out = out.select("id", "bares", "capital", kinds.alias("kinds"))
+    previous = F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col("kinds")), F.lit(1), F.size("kinds"))
+    strict = F.zip_with("kinds", previous, lambda k, p: F.when((p == NUM) & k.isin([_hash(x) for x in UNITS]), F.lit(UNIT)).otherwise(k))
+    out = out.select("id", "bares", "capital", strict.alias("strict"))
+    return out.select("id", "bares", "strict", F.zip_with("strict", "capital", lambda k, c: F.when(c, F.lit(NAME)).otherwise(k)).alias("loose"))
+
+
+def _doubled(df: DataFrame, name: str, longest: int) -> DataFrame:
+    """df with columns {name}2, {name}4 and so on up to the longest: at each place a hash of so many entries of the array, of which the last ones lack some."""
+    width, rows = 1, df.withColumn(f"{name}1", F.col(name))
+    while 2 * width <= longest:
+        rows = rows.withColumn(f"{name}{2 * width}", F.zip_with(f"{name}{width}", F.slice(f"{name}{width}", F.lit(width + 1), F.greatest(F.size(name) - width, F.lit(0))), lambda x, y: F.xxhash64(x, y)))
+        width *= 2
+    return rows
+
+
+def _windows(name: str, size: int) -> Column:
+    """array<bigint>: a hash of each window of `size` entries, none if there are fewer; put together of the columns that _doubled made."""
+    out, at = None, 0
+    for bit in (1 << k for k in reversed(range(size.bit_length())) if size >> k & 1):
+        part = F.slice(f"{name}{bit}", F.lit(at + 1), F.greatest(F.size(name) - at, F.lit(0)))
+        out = part if out is None else F.zip_with(out, part, lambda x, y: F.xxhash64(x, y))
+        at += bit
+    return F.slice(out, F.lit(1), F.greatest(F.size(name) - (size - 1), F.lit(0)))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(w, item, at, size, loose, item_values, temps, n): the windows that count, n being the item's count of places of them, item_values its words in the window, loose whether the first words of sentences are names there."""
+    """(w, item, at, size, loose, item_values, temps, n): the windows that count, n being the item's count of places of them, item_values its words in the window, temps their template, loose whether the first words of sentences are names there."""
     items = _marked(benchmark, item_id, text).withColumn("size", F.least(F.lit(WINDOW), F.size("bares"))).where("size > 0")
-    items = items.withColumn("loose", F.lit(0)).union(items.withColumn("temps", _loose("temps")).withColumn("loose", F.lit(1))).withColumn("hashes", _hashed("temps"))
-    each = items.select("id", "size", "bares", "temps", "loose", F.posexplode(_windows("hashes", "size")).alias("at", "w"))
+    both = F.explode(F.array(*(F.struct(F.lit(k).alias("loose"), F.col(c).alias("temps")) for k, c in enumerate(("strict", "loose")))))
+    items = _doubled(items.select("id", "size", "bares", both.alias("_")).select("id", "size", "bares", "_.*"), "temps", WINDOW)
+    hashes = F.coalesce(*(F.when(F.col("size") == s, _windows("temps", s)) for s in range(1, WINDOW + 1)))
+    each = items.select("id", "size", "bares", "temps", "loose", F.posexplode_outer(hashes).alias("at", "w")).where("at is not null")
     window = F.slice("temps", F.col("at") + 1, F.col("size"))
-    literals = F.filter(window, lambda t: ~t.isin("<num>", "<name>", "<unit>"))
+    literals = F.filter(window, lambda t: ~t.isin(*_TYPED))
     needed = F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2))
     each = each.where((F.size(literals) >= needed) & ((F.size(F.array_distinct(literals)) >= F.least(F.lit(3), F.col("size")))))
     values = F.slice("bares", F.col("at") + 1, F.col("size"))
@@ -132,10 +149,12 @@ def _matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataF
     """(id, item, at, n, offset, loose, same, slots): a row for each place of a document at which a window of the benchmark stands."""
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
     # a document's windows of each size, one size after the other, then those with the first words of sentences as names, null where they are the same
-    row = _marked(docs, doc_id, text).withColumn("hashes", _hashed("temps")).withColumn("other", _loose("hashes"))
-    both = [(_windows("hashes", str(s)), _windows("other", str(s))) for s in sizes]
+    row = _marked(docs, doc_id, text)
+    for name in ("strict", "loose"):
+        row = _doubled(row, name, max(sizes, default=1))
+    both = [(_windows("strict", s), _windows("loose", s)) for s in sizes]
     every = F.concat(*(w for w, _ in both), *(F.zip_with(w, o, lambda x, y: F.when(x != y, y)) for w, o in both)) if sizes else F.array().cast("array<bigint>")
-    spots = row.select("id", "bares", F.posexplode(every).alias("pos", "w"))
+    spots = row.select("id", "bares", F.posexplode_outer(every).alias("pos", "w"))  # the inner form would add a filter that evaluates all of this again
     wanted = items.select("w").distinct()
     spots = spots.join(F.broadcast(wanted), "w", "left_semi") if items.count() <= BROADCAST_WINDOWS else sifted(spots, "w", wanted)
     # from the position to the window's size and place
@@ -150,7 +169,7 @@ def _matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataF
     spots = spots.select("id", "w", "named", "_size", "place", F.slice("bares", F.col("place") + 1, F.col("_size")).alias("values"))
     pairs = spots.join(items, "w").where("_size = size")
     low = lambda a: F.transform(a, F.lower)
-    slots = F.filter(F.zip_with("temps", F.zip_with(low(F.col("item_values")), low(F.col("values")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda t, v: F.when(t.isin("<num>", "<name>", "<unit>"), v)), lambda s: s.isNotNull())
+    slots = F.filter(F.zip_with("temps", F.zip_with(low(F.col("item_values")), low(F.col("values")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda t, v: F.when(t.isin(*_TYPED), v)), lambda s: s.isNotNull())
     return pairs.select("id", "item", "at", "n", (F.col("place") - F.col("at")).alias("offset"), (F.col("named") | (F.col("loose") > 0)).alias("loose"), (low(F.col("item_values")) == low(F.col("values"))).alias("same"), slots.alias("slots"))
 
 
