@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunder.llm import resemblance
-from sunder.llm.common import small_batches, written
+from sunder.llm.common import flagged, scratch, small_batches, unused, written
 from sunder.llm.components import connected_components
 
 SHINGLE_WORDS, DISTANCE, BLOCKS = 3, 3, 6
@@ -146,49 +146,71 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCK
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
     """(doc_id, fp, component_id) of every row: its fingerprint and the smallest id that its links reach."""
     small_batches(docs.sparkSession)
-    prints = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    labels = connected_components(links(distinct.select("fp"), distance, blocks, group))
-    members = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    firsts = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = written(members.join(firsts, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    with scratch() as kept:
+        prints = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
+        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+        labels = connected_components(links(distinct.select("fp"), distance, blocks, group))
+        members = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        firsts = written(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "firsts")
+        kept += [prints, written(members.join(firsts, "root").select("fp", "component_id"), "classes")]
+    return prints.join(kept[1], "fp").select("doc_id", "fp", "component_id")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = resemblance.SIMILARITY, words: int = SHINGLE_WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
-    """(doc_id, node, component_id) of every row, as near_duplicates, but also linked by resemblance.
+    """(doc_id, node, component_id) of every row, as near_duplicates, but also linked by resemblance, written.
 
     node stands for a set of five-word shingles. Components join equal fingerprints, fingerprints within `distance`
-    bits, equal sets and sets of at least `similarity`.
+    bits, equal sets and sets of at least `similarity`. Whole sets are made again, for the first document of each node that is a candidate.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp"), resemblance.sketched(F.col(text)).alias("_"))
-    prints = written(rows.select("doc_id", "fp", "_.*"), "sketches")
-    pairs = written(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    hubs = written(pairs.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
-    near = links(hubs.select("fp"), distance, blocks, group)
-    near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("ha")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("hb")), "b")
-    edges = pairs.join(hubs, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    edges = edges.union(near.select("ha", "hb")).union(resemblance.links(prints, similarity))
-    labels = connected_components(edges)
-    members = pairs.groupBy("node").agg(F.min("first_id").alias("first_id")).join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    firsts = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = written(members.join(firsts, "root").select("node", "component_id"), "classes")
-    return prints.select("doc_id", "node").join(found, "node").select("doc_id", "node", "component_id")
+    with scratch() as kept:
+        rows = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp"), resemblance.sketched(F.col(text), shingles=False).alias("_"))
+        prints = written(rows.select("doc_id", "fp", "_.*"), "sketches")
+        pairs = written(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+        nodes = written(pairs.groupBy("node").agg(F.min("first_id").alias("first_id")), "nodes")
+        hubs = written(pairs.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
+        near = links(hubs.select("fp"), distance, blocks, group)
+        near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("ha")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("hb")), "b")
+        edges = pairs.join(hubs, "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+        def whole(wanted: DataFrame) -> DataFrame:
+            firsts = wanted.join(nodes, "node").select("first_id")
+            flag = unused("_flag", docs)
+            some = flagged(docs, doc_id, firsts, flag)
+            some = some.where(F.col(flag) | F.col(doc_id).isNull()) if firsts.where("first_id is null").limit(1).count() else some.where(flag)
+            return some.select(resemblance.shingled(F.col(text)).alias("_")).select("_.node", "_.shingles")
+
+        labels = connected_components(edges.union(near.select("ha", "hb")).union(resemblance.links(prints.select("node", "bands", "marks"), similarity, whole=whole)))
+        members = nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+        firsts = written(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "firsts")  # written, so that a large component's partition can be split in the join
+        found = members.join(firsts, "root").select("node", "component_id")
+        kept.append(written(prints.select("doc_id", "node").join(found, "node").select("doc_id", "node", "component_id"), "classes"))
+    return kept[0]
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs without near-duplicates: of each component of `classes` the row with the smallest id stays, one of them if rows share that id.
 
-    Of rows without an id, one stays for each component that has no other and, within it, for each set of shingles.
+    Of rows without an id, one stays for each component that has no other and, within it, for each set of shingles. Only
+    rows whose id may be one that goes, or is there more than once, are shuffled with their texts.
     """
-    found = classes(docs, doc_id, text, **how)
-    kept = written(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    ids = kept.where("doc_id is not null").select(F.col("doc_id").alias("_kept")).hint("shuffle_hash")  # too many to broadcast, and texts needn't be sorted
-    out = docs.join(ids, F.col(doc_id) == F.col("_kept"), "left_semi")
-    if kept.where("n > 1 or doc_id is null").limit(1).count():  # ids aren't unique here: leave one row of each
-        lost = docs.where(F.col(doc_id).isNull())
-        orphans = found.where("component_id is null").select(F.col("node").alias("_node")).distinct()
-        lost = lost.withColumn("_node", resemblance.sketched(F.col(text))["node"]).join(orphans, "_node", "left_semi").dropDuplicates(["_node"]).drop("_node")
-        out = out.dropDuplicates([doc_id]).unionByName(lost)
+    with scratch() as kept:
+        found = classes(docs, doc_id, text, **how)
+        ids = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n"))
+        told = written(ids.where("not stays or n > 1").select("doc_id", "stays"), "told")
+        kept.append(told)
+        orphans = written(found.where("component_id is null").select("node").distinct(), "orphans")
+        kept.append(orphans)
+    flag = unused("_flag", docs)
+    marked = flagged(docs, doc_id, told.select("doc_id"), flag)
+    gone = told.where("not stays").select(F.col("doc_id").alias(unused("_gone", docs)))
+    told_apart = marked.where(flag).drop(flag)
+    rest = told_apart.join(gone.hint("shuffle_hash"), F.col(doc_id) == gone[gone.columns[0]], "left_anti")  # texts needn't be sorted
+    if told.where("stays and doc_id is not null").limit(1).count():  # ids aren't unique: leave one row of each
+        rest = rest.dropDuplicates([doc_id])
+    out = marked.where(~F.col(flag) & F.col(doc_id).isNotNull()).drop(flag).unionByName(rest)
+    if orphans.limit(1).count():
+        node = unused("_node", docs)
+        lost = docs.where(F.col(doc_id).isNull()).withColumn(node, resemblance.shingled(F.col(text))["node"])
+        out = out.unionByName(lost.join(orphans.withColumnRenamed("node", node), node, "left_semi").dropDuplicates([node]).drop(node))
     return out
