@@ -7,7 +7,7 @@ MAX_LABELLED, are made by the same expression as those of the urls and sent to t
 on the fixed table take well under a second. Scoring is one projection: no shuffle, no join, no Python.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, no rule fits it, and the model judges
-it by its bias, as it does an empty host. Repeated rows get equal verdicts.
+it by its bias, as it does an empty host. Repeated rows get equal verdicts; an empty table gives none; columns of other names stay.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sunder.llm.common import unused
+
 BUCKETS, NGRAMS = 4096, (3, 4, 5)
 MAX_LABELLED, MAX_RULES = 2000, 1000
 THRESHOLD = 0.5
@@ -82,7 +84,7 @@ def buckets_of(host: Column, path: Column, buckets: int = BUCKETS, ngrams: tuple
     return F.array_distinct(F.concat(*map(of, ngrams)))
 
 
-def fit(labelled: DataFrame, url: str = "url", label: str = "label", buckets: int = BUCKETS, steps: int = 300, rate: float = 1.0, decay: float = 1e-3) -> tuple[list[float], float]:
+def fit(labelled: DataFrame, url: str = "url", label: str = "label", buckets: int = BUCKETS, steps: int = 300, rate: float = 4.0, decay: float = 1e-3) -> tuple[list[float], float]:
     """Weights by bucket, and the bias. labelled: at most MAX_LABELLED rows; those with a null label are ignored."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rows = labelled.where(F.col(label).isNotNull()).select(buckets_of(host, path, buckets).alias("b"), F.col(label).cast("double").alias("y")).limit(MAX_LABELLED + 1).collect()
@@ -93,13 +95,14 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", buckets: in
     for _ in range(steps if data else 0):
         slope, lean = {}, 0.0
         for b, y in data:
-            z = (bias + sum(weights[k] for k in b)) / math.sqrt(len(b) + 1)
-            miss = (1 / (1 + math.exp(-max(-30, min(30, z)))) - y) / len(data)
+            scale = 1 / math.sqrt(len(b) + 1)
+            z = (bias + sum(weights[k] for k in b)) * scale
+            miss = (1 / (1 + math.exp(-max(-30, min(30, z)))) - y) * scale / len(data)
             lean += miss
             for k in b:
                 slope[k] = slope.get(k, 0.0) + miss
         for k, g in slope.items():
-            weights[k] -= rate * math.sqrt(len(data)) * (g + decay * weights[k] / len(data))
+            weights[k] -= rate * (g + decay * weights[k] / len(data))
         bias -= rate * lean
     return weights, bias
 
@@ -118,7 +121,8 @@ def judged(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RU
     """pages with host, path, rule, verdict and unwanted (the model's probability), in place of columns of those names."""
     spark: SparkSession = pages.sparkSession
     model = fit(labelled if labelled is not None else spark.createDataFrame(labelled_urls(), "url string, label int"))
-    out = pages.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
-    out = out.withColumns({"_rule": rule_of(F.col("_host"), F.col("_path"), rules), "_p": probability(F.col("_host"), F.col("_path"), model)})
-    names = {"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", F.when(F.col("_p") >= threshold, "block").otherwise("allow")), "unwanted": F.col("_p")}
-    return out.withColumns(names).drop("_host", "_path", "_rule", "_p")
+    host, path, rule, p = (unused(n, pages) for n in ("_host", "_path", "_rule", "_p"))
+    out = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
+    out = out.withColumns({rule: rule_of(F.col(host), F.col(path), rules), p: probability(F.col(host), F.col(path), model)})
+    names = {"host": F.col(host), "path": F.col(path), "rule": F.col(f"{rule}.rule"), "verdict": F.coalesce(f"{rule}.verdict", F.when(F.col(p) >= threshold, "block").otherwise("allow")), "unwanted": F.col(p)}
+    return out.withColumns(names).drop(host, path, rule, p)
