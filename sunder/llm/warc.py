@@ -14,8 +14,8 @@ others refer to it and keep the HTTP header only. The first of each payload is f
 map-side combination, not of payloads; only the table of repeated digests is joined back.
 
 Archives are written by Spark's text sink through its committer, so any Hadoop file system, retried tasks and
-speculative ones are fine; gzip is applied to whole files. Files roll after a number of records, so that
-reading a file back takes bounded memory; the reader parses it as a stream.
+speculative ones are fine; gzip is applied to whole files. Files roll after a number of records; a reader holds one file's
+compressed bytes and parses them as a stream, so a task needs as much as FILE_RECORDS records take.
 
 Defined cases: a null payload is an empty one; a record cut off before its declared length raises an error; empty
 tables give no records; of rows that repeat a key and a payload none refers to another of them; a record without a key is never the
@@ -27,6 +27,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +46,8 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: Url and content type may hold blanks, so a header line is read by its address, date and the fields at its right end.
+_ARC_LINE = {1: re.compile(r"(.*) (\S+) (\d{12,14}) (.*) (\d+)"), 2: re.compile(r"(.*) (\S+) (\d{12,14}) (.*) (\S+) (\S+) (\S+) (\S+) (\S+) (\d+)")}
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, names that are URLs
 KEY_HEADER = b"X-Record-Key"
 
@@ -76,10 +79,10 @@ def parse_arc(stream: io.BufferedIOBase) -> Iterator[dict]:
     while line := stream.readline():
         if not line.strip():
             continue  # the line feed after a block
-        fields = line.decode("utf-8", "surrogateescape").rstrip("\r\n").split(" ")
-        if len(fields) != len(names):
+        fields = _ARC_LINE[version].fullmatch(line.decode("utf-8", "replace").rstrip("\r\n"))
+        if fields is None:
             raise ValueError(f"{len(names)} fields expected: {line[:200]!r}")
-        at = dict(zip(names, fields, strict=True))
+        at = dict(zip(names, fields.groups(), strict=True))
         block = _exactly(stream, int(at["Archive-length"]))
         http = None
         if block.startswith(b"HTTP/") and (end := block.find(b"\r\n\r\n")) >= 0:
