@@ -81,6 +81,12 @@ def slot_of(number: Column, n: int, key: int) -> Column:
     return slot(number)
 
 
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    if ids.max() > 65_535:
+        raise ValueError(f"id {ids.max()} doesn't fit 16 bits")
+    return ids.astype(np.uint16)
+
+
 def sequences(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(part, place, doc_ids, digest, tokens): the packed sequences of each task; tokens are 2 * length bytes, digest their SHA-256. Ids must fit 16 bits."""
     small_batches(docs.sparkSession)
@@ -110,7 +116,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
 
         ends = np.zeros(0, np.int64)
         for batch in batches:
-            encoded = [np.append(encode_text(encoding, t.as_py()), SEPARATOR).astype(np.uint16) for t in batch.column(1)]
+            encoded = [_narrow(np.append(encode_text(encoding, t.as_py()), SEPARATOR)) for t in batch.column(1)]
             more = len(rest) + np.cumsum([len(e) for e in encoded], dtype=np.int64)
             out, ends = cut(np.concatenate([rest, *encoded]), np.concatenate([ends, more]), rest_ids + batch.column(0).to_pylist(), False)
             yield out
