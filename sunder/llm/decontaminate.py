@@ -76,11 +76,13 @@ def _marked(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """
     out = docs.select(F.col(ident).alias("id"), tokens(F.col(text)).alias("words"))
     before = F.slice(F.concat(F.array(F.lit("")), F.col("words")), F.lit(1), F.size("words"))  # the token in front of each as it stands
-    out = out.select("id", F.transform("words", bare).alias("bares"), F.transform(before, lambda b: (b != "") & ~F.right(b, F.lit(1)).isin(".", "!", "?", ":", "|")).alias("within"))
+    out = out.select("id", F.transform("words", bare).alias("bares"), before.alias("before"))
     # a token that begins with a digit is a number; strings compare by bytes
     hashes = F.transform("bares", lambda t: F.when((t >= "0") & (t < ":"), F.lit(NUM)).otherwise(F.xxhash64(F.lower(t))))
-    out = out.select("id", "bares", "within", F.transform("bares", capitalised).alias("capital"), hashes.alias("hashes"))
-    out = out.select("id", "bares", "capital", "hashes", F.zip_with("capital", "within", lambda c, w: c & w).alias("name"))
+    out = out.select("id", "bares", "before", F.transform("bares", capitalised).alias("capital"), hashes.alias("hashes"))
+    ends = lambda b: reduce(lambda x, y: x | y, (F.endswith(b, F.lit(mark)) for mark in ".!?:|"))
+    name = F.zip_with("capital", "before", lambda c, b: c & (b != "") & ~ends(b))  # few tokens are capitalised: for others nothing else is evaluated
+    out = out.select("id", "bares", "capital", "hashes", name.alias("name"))
     kinds = F.zip_with("hashes", "name", lambda h, n: F.when(h.isin([_hash(x) for x in NUMBERS]), F.lit(NUM)).when(n, F.lit(NAME)).otherwise(h))
     out = out.select("id", "bares", "capital", kinds.alias("kinds"))
     previous = F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col("kinds")), F.lit(1), F.size("kinds"))
