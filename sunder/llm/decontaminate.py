@@ -13,7 +13,7 @@ Both are judged over the whole document and over each occurrence, the windows th
 may hold a question twice with other values, or one with words put in between. Either is judged by the matches of the first template alone and by all. The columns are those of
 the first of these four ways that passes, of occurrences the best.
 
-Documents are read as arrays of window hashes, one pass without a shuffle; what matches is a small part, and only that is shuffled, each match with
+Documents become arrays of template tokens, then a row for each place and its windows, one pass without a shuffle; what matches is a small part, and only that is shuffled, each match with
 the words of its own window. Up to BROADCAST_WINDOWS hashes of the benchmark are broadcast; of more, hashed bits of a bounded size are, which let few others through.
 The benchmark's windows are a written table: the planner broadcasts it only while its files are below its threshold.
 
@@ -91,32 +91,19 @@ def _marked(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return out.select("id", "bares", "strict", F.zip_with("strict", "capital", lambda k, c: F.when(c, F.lit(NAME)).otherwise(k)).alias("loose"))
 
 
-def _doubled(df: DataFrame, name: str, longest: int) -> DataFrame:
-    """df with columns {name}2, {name}4 and so on up to the longest: at each place a hash of so many entries of the array, of which the last ones lack some."""
-    width, rows = 1, df.withColumn(f"{name}1", F.col(name))
-    while 2 * width <= longest:
-        rows = rows.withColumn(f"{name}{2 * width}", F.zip_with(f"{name}{width}", F.slice(f"{name}{width}", F.lit(width + 1), F.greatest(F.size(name) - width, F.lit(0))), lambda x, y: F.xxhash64(x, y)))
-        width *= 2
-    return rows
-
-
-def _windows(name: str, size: int) -> Column:
-    """array<bigint>: a hash of each window of `size` entries, none if there are fewer; put together of the columns that _doubled made."""
-    out, at = None, 0
-    for bit in (1 << k for k in reversed(range(size.bit_length())) if size >> k & 1):
-        part = F.slice(f"{name}{bit}", F.lit(at + 1), F.greatest(F.size(name) - at, F.lit(0)))
-        out = part if out is None else F.zip_with(out, part, lambda x, y: F.xxhash64(x, y))
-        at += bit
-    return F.slice(out, F.lit(1), F.greatest(F.size(name) - (size - 1), F.lit(0)))
+def _window(name: str, at: Column, size: int) -> Column:
+    """A hash of the window of `size` entries of an array from place `at` on, null if it doesn't end within; read by element, so that compiled code makes no array."""
+    return F.when(at + size <= F.size(name), F.xxhash64(*(F.get(F.col(name), at + k) for k in range(size))))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(w, item, at, size, loose, item_values, temps, n): the windows that count, n being the item's count of places of them, item_values its words in the window, temps their template, loose whether the first words of sentences are names there."""
     items = _marked(benchmark, item_id, text).withColumn("size", F.least(F.lit(WINDOW), F.size("bares"))).where("size > 0")
     both = F.explode(F.array(*(F.struct(F.lit(k).alias("loose"), F.col(c).alias("temps")) for k, c in enumerate(("strict", "loose")))))
-    items = _doubled(items.select("id", "size", "bares", both.alias("_")).select("id", "size", "bares", "_.*"), "temps", WINDOW)
-    hashes = F.coalesce(*(F.when(F.col("size") == s, _windows("temps", s)) for s in range(1, WINDOW + 1)))
-    each = items.select("id", "size", "bares", "temps", "loose", F.posexplode_outer(hashes).alias("at", "w")).where("at is not null")
+    items = items.select("id", "size", "bares", both.alias("_")).select("id", "size", "bares", "_.*")
+    each = items.select("*", F.posexplode("temps").alias("at", "_"))
+    hashes = F.coalesce(*(F.when(F.col("size") == s, _window("temps", F.col("at"), s)) for s in range(1, WINDOW + 1)))
+    each = each.select("id", "size", "bares", "temps", "loose", "at", hashes.alias("w")).where("w is not null")
     window = F.slice("temps", F.col("at") + 1, F.col("size"))
     literals = F.filter(window, lambda t: ~t.isin(*_TYPED))
     needed = F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2))
@@ -150,25 +137,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def _matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, item, at, n, offset, loose, same, slots): a row for each place of a document at which a window of the benchmark stands."""
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
-    # a document's windows of each size, one size after the other, then those with the first words of sentences as names, null where they are the same
-    row = _marked(docs, doc_id, text)
-    for name in ("strict", "loose"):
-        row = _doubled(row, name, max(sizes, default=1))
-    both = [(_windows("strict", s), _windows("loose", s)) for s in sizes]
-    every = F.concat(*(w for w, _ in both), *(F.zip_with(w, o, lambda x, y: F.when(x != y, y)) for w, o in both)) if sizes else F.array().cast("array<bigint>")
-    spots = row.select("id", "bares", F.posexplode_outer(every).alias("pos", "w"))  # the inner form would add a filter that evaluates all of this again
+    # a row for each place, in compiled code: only `bares` and the templates' arrays are made by lambdas, and rows refer to them
+    spots = _marked(docs, doc_id, text).select("id", "bares", "strict", "loose", F.posexplode_outer("strict").alias("place", "_"))  # the inner form would add a filter that evaluates the arrays again
+    spots = spots.select("id", "bares", "place", *(_window(name, F.col("place"), s).alias(f"{name}{s}") for s in sizes for name in ("strict", "loose")))
+    # the windows of each size, each with the first words of sentences as names, too, null where that is the same
+    every = [w for s in sizes for w in (F.col(f"strict{s}"), F.when(F.col(f"strict{s}") != F.col(f"loose{s}"), F.col(f"loose{s}")))]
+    every = F.array(*every) if sizes else F.array().cast("array<bigint>")
+    spots = spots.select("id", "bares", "place", F.posexplode_outer(every).alias("pos", "w"))
     wanted = items.select("w").distinct()
     spots = spots.join(F.broadcast(wanted), "w", "left_semi") if items.count() <= BROADCAST_WINDOWS else sifted(spots, "w", wanted)
-    # from the position to the window's size and place
-    counts = {s: F.greatest(F.lit(0), F.size("bares") - (s - 1)) for s in sizes}
-    strict = reduce(lambda x, y: x + y, counts.values(), F.lit(0))
-    spots = spots.withColumn("named", F.col("pos") >= strict).withColumn("pos", F.col("pos") - F.when(F.col("named"), strict).otherwise(0))
-    size, place, before = F.lit(0), F.lit(0), F.lit(0)
-    for s, n in counts.items():
-        inside = F.col("pos") >= before
-        size, place, before = F.when(inside, F.lit(s)).otherwise(size), F.when(inside, F.col("pos") - before).otherwise(place), before + n
-    spots = spots.select("id", "w", "named", size.alias("_size"), place.alias("place"), "bares")
-    spots = spots.select("id", "w", "named", "_size", "place", F.slice("bares", F.col("place") + 1, F.col("_size")).alias("values"))
+    size = F.get(F.lit(sizes).cast("array<int>"), F.expr("pos div 2").cast("int"))
+    spots = spots.select("id", "w", (F.col("pos") % 2 == 1).alias("named"), size.alias("_size"), "place", F.slice("bares", F.col("place") + 1, size).alias("values"))
     pairs = spots.join(items, "w").where("_size = size")
     low = lambda a: F.transform(a, F.lower)
     slots = F.filter(F.zip_with("temps", F.zip_with(low(F.col("item_values")), low(F.col("values")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda t, v: F.when(t.isin(*_TYPED), v)), lambda s: s.isNotNull())
