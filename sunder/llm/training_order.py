@@ -1,19 +1,20 @@
 """Training-order materialisation: token sequences in the order of a keyed permutation, in fixed-stride shards.
 
-Each task encodes its documents, joins them with the separator id and cuts the stream into sequences of LENGTH ids; the last
-of a task is padded with the separator. Sequences are numbered by task and place. A keyed Feistel network permutes the
-smallest power of two that holds all numbers, and cycle-walking (applying it again until the result is a number in use) makes that a
-permutation of exactly the numbers 0 to n - 1, so every sequence gets its own slot without a sort or a shared state.
-Shard k holds the slots from k * SHARD on, in order, as 16-bit little-endian ids, each record followed by a line feed:
-slot s is at byte (s % SHARD) * STRIDE of shard s // SHARD, so a reader resumes by a seek, and `unpermuted` tells
-which sequence stands at a slot. Shards are written by Spark's text sink through its committer, which copes with
-retried tasks.
-
-Tokens are written once as a table, so that counts and numbers come from what will be placed, then shuffled once, by shard. All shards
-but the last have the same size, so no key is hot.
+Documents are put in order of id, then hash of the text, by range partitions; each task encodes its range. The encoded documents, each followed by the
+separator id, make one stream over all ranges, and sequence k is the LENGTH ids from k * LENGTH on, the last one padded with separators. So sequences are
+a function of the data and not of how files or tasks are split. A keyed Feistel network permutes the smallest power of two that holds all their
+numbers, and cycle-walking (applying it again until the result is a number in use) makes that a permutation of exactly the numbers 0 to
+n - 1, so every sequence gets its own slot without a sort or a shared state. Shard k holds the slots from k * SHARD on, in order, as
+16-bit little-endian ids, each record followed by a line feed: slot s is at byte (s % SHARD) * STRIDE of shard s // SHARD, so `read_shards` resumes
+from any slot, and `unpermuted` tells which sequence stands at a slot. Shards are written by Spark's text sink through its committer, which
+copes with retried tasks.
+
+Texts are shuffled once, by range, tokens once, by shard: a task for each shard, the range of slots that it holds. That goes in WAVES, each for a part of the
+shards, and Spark deletes the shuffle files of each write when it ends, so that the disk holds the table of tokens, the shards and a wave's shuffle.
+All shards but the last have the same size, so no key is hot; rows that share an id and a text are dealt over ranges, too.
 
 Defined cases: a null or empty text is its separator only; repeated rows are encoded each; an empty table gives no shard; a null id
-is left out of doc_ids.
+comes first and is left out of doc_ids; ids must be numbers; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunder.llm.bpe import _encoding, encode_text, read_ranks
-from sunder.llm.common import shared_folder, small_batches, written
+from sunder.llm.common import dropped, shared_folder, small_batches, written
 
 LENGTH, SHARD, SEPARATOR, ROUNDS = 1024, 8192, 50256, 6
 STRIDE = 2 * LENGTH + 1
+#: Parts of the shards that are shuffled and written one after the other.
+WAVES = 2
 #: The table of tokens stands beside the shuffle and the shards, so it is packed well: larger pages let zstd find more repeats.
-_PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(16 << 20)}
+_PACKED = {"compression": "zstd", "parquet.page.size": str(16 << 20)}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of a query when it ends."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -87,54 +103,92 @@ def _narrow(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.uint16)
 
 
-def sequences(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(part, place, doc_ids, digest, tokens): the packed sequences of each task; tokens are 2 * length bytes, digest their SHA-256. Ids must fit 16 bits."""
-    small_batches(docs.sparkSession)
-    data = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("digest", pa.binary()), ("tokens", pa.binary())])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, part, place = _encoding(data.value, pattern), TaskContext.get().partitionId(), 0
-        rest, rest_ids = np.zeros(0, np.uint16), []
-
-        def cut(stream: np.ndarray, ends: np.ndarray, ids: list, last: bool):
-            """Whole sequences of the stream; ends: where each document ends."""
-            nonlocal place, rest, rest_ids
-            n = -(-len(stream) // length) if last else len(stream) // length
-            if n * length > len(stream):
-                stream = np.concatenate([stream, np.full(n * length - len(stream), SEPARATOR, np.uint16)])
-            first = np.searchsorted(ends, np.arange(n) * length, "right")
-            until = np.minimum(np.searchsorted(ends, np.arange(1, n + 1) * length, "left") + 1, len(ids))
-            rows = [[i for i in ids[a:b] if i is not None] for a, b in zip(first, until, strict=True)]
-            tokens = [stream[k * length : (k + 1) * length].tobytes() for k in range(n)]
-            k = int(np.searchsorted(ends, n * length, "right"))
-            rest, rest_ids = stream[n * length :], ids[k:]
-            rest_ends = ends[k:] - n * length
-            out = pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.array(rows, schema.field(2).type), pa.array([hashlib.sha256(t).digest() for t in tokens], pa.binary()), pa.array(tokens, pa.binary())], schema=schema)
-            place += n
-            return out, rest_ends
-
-        ends = np.zeros(0, np.int64)
-        for batch in batches:
-            encoded = [_narrow(np.append(encode_text(encoding, t.as_py()), SEPARATOR)) for t in batch.column(1)]
-            more = len(rest) + np.cumsum([len(e) for e in encoded], dtype=np.int64)
-            out, ends = cut(np.concatenate([rest, *encoded]), np.concatenate([ends, more]), rest_ids + batch.column(0).to_pylist(), False)
-            yield out
-        if len(rest):
-            yield cut(rest, ends, rest_ids, True)[0]
+def _weights(length: int) -> np.ndarray:
+    return (_mixed(np.arange(length, dtype=np.uint64), 1) >> np.uint64(33)).astype(np.int64) + 1
+
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(pack, "part int, place long, doc_ids array<long>, digest binary, tokens binary")
+def checksum(tokens: Column, at: Column, length: int) -> Column:
+    """The sum of ids times weights of their places in the sequence; the pieces of a sequence add up to the sequence's. Another id changes it."""
+    weights = _weights(length)
+
+    @F.arrow_udf("long")
+    def total(pieces: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for piece, place in zip(pieces, places.to_numpy(zero_copy_only=False), strict=True):
+            ids = np.frombuffer(piece.as_buffer(), np.uint16)
+            out.append(int(ids.astype(np.int64) @ weights[place : place + len(ids)]))  # below 2 ** 57 for 1024 ids
+        return pa.array(out, pa.int64())
 
+    return total(tokens, at)
 
-def write_shards(placed: DataFrame, folder: str, shards: int) -> None:
-    """placed: slot, shard and tokens. A file for each shard."""
-    rows = placed.select("shard", "slot", F.col("tokens").cast("string").alias("value"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot").select("shard", "value")
-    rows.write.partitionBy("shard").option("lineSep", "\n").text(folder)
 
+def token_table(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(part, start, n, id, tokens): the encoded documents in order, by ranges; start counts the ids before it in its range, tokens are 2 * n bytes. Ids must fit 16 bits."""
+    small_batches(docs.sparkSession)
+    data = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    schema = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("id", pa.int64()), ("tokens", pa.binary())])
 
-def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = SHARD) -> DataFrame:
-    """(slot, digest, n_tokens) of every record, by stride: its SHA-256, and its count of ids other than the separator."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, part, start = _encoding(data.value, pattern), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            encoded = [_narrow(np.append(encode_text(encoding, t.as_py()), SEPARATOR)) for t in batch.column(1)]
+            n = np.array([len(e) for e in encoded], np.int64)
+            starts = start + np.cumsum(n) - n
+            start += int(n.sum())
+            columns = [pa.array([part] * len(n), pa.int32()), pa.array(starts), pa.array(n.astype(np.int32)), batch.column(0), pa.array([e.tobytes() for e in encoded], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    # ranges are told apart by a hash of the text, as samples of the keys go to the driver; the last key only deals equal rows over ranges, where their order doesn't matter
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("copy", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("id", "h", "copy").sortWithinPartitions("id", "h", "text")
+    return rows.select("id", "text").mapInArrow(encode, "part int, start long, n int, id long, tokens binary")
+
+
+def pieces(table: DataFrame, bases: DataFrame, n: int, pad: int, length: int = LENGTH) -> DataFrame:
+    """(number, at, id, tokens): the parts of documents in each sequence, and the padding of the last one."""
+    rows = table.join(bases, F.col("part") == F.col("_part")).withColumn("start", F.col("base") + F.col("start"))
+    numbers = F.sequence(F.expr(f"start div {length}"), F.expr(f"(start + n - 1) div {length}"))
+    rows = rows.select("start", "n", "id", "tokens", F.explode(numbers).alias("number"))
+    low, high = F.greatest("start", F.col("number") * length), F.least(F.col("start") + F.col("n"), (F.col("number") + 1) * length)
+    tokens = F.substring("tokens", ((low - F.col("start")) * 2 + 1).cast("int"), ((high - low) * 2).cast("int"))
+    rows = rows.select("number", (low - F.col("number") * length).cast("int").alias("at"), "id", tokens.alias("tokens"))
+    last = bytearray(np.full(pad, SEPARATOR, np.uint16).tobytes())
+    return rows.unionByName(table.sparkSession.createDataFrame([(n - 1, length - pad, None, last)] if pad else [], rows.schema))
+
+
+def write_shards(placed: DataFrame, folder: str, first: int, shards: int, length: int = LENGTH) -> None:
+    """placed: slot, shard, at and tokens, the pieces of the sequences of so many shards from the first one on. A task and a file for each shard."""
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pieces of a slot joined; they come in order."""
+        now, parts = None, []
+        for batch in batches:
+            out = []
+            for slot, shard, piece in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if now is not None and now[0] != slot:
+                    out.append((*now, b"".join(parts)))
+                    parts = []
+                now = slot, shard
+                parts.append(piece)
+            yield made(out)
+        if now is not None:
+            yield made([(*now, b"".join(parts))])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        if wrong := [r[0] for r in rows if len(r[2]) != 2 * length]:
+            raise ValueError(f"slots {wrong[:5]} aren't whole")
+        slots, shard, values = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(shard, pa.int64()), pa.array(values, pa.binary())], names=["slot", "shard", "value"])
+
+    rows = placed.repartitionById(shards, (F.col("shard") - first).cast("int")).sortWithinPartitions("shard", "slot", "at")
+    rows = rows.select("slot", "shard", "tokens").mapInArrow(records, "slot long, shard long, value binary")
+    rows = rows.sortWithinPartitions("shard", "slot").select("shard", F.col("value").cast("string"))
+    rows.write.mode("append").partitionBy("shard").option("lineSep", "\n").text(folder)
+
+
+def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = SHARD, first: int = 0) -> DataFrame:
+    """(slot, tokens) of every record from slot `first` on, by stride. Shards before it aren't opened, the records before it in its shard aren't looked at."""
     stride = 2 * length + 1
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,37 +197,52 @@ def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shar
                 data, shard = memoryview(content.as_buffer()), int(path.rpartition("/shard=")[2].partition("/")[0])
                 if len(data) % stride:
                     raise ValueError(f"{path} isn't a whole count of records")
-                n = len(data) // stride
-                records = [data[k * stride : (k + 1) * stride - 1] for k in range(n)]
-                counts = [int((np.frombuffer(r, np.uint16) != SEPARATOR).sum()) for r in records]
-                digests = pa.array([hashlib.sha256(r).digest() for r in records], pa.binary())
-                yield pa.RecordBatch.from_pydict({"slot": pa.array(range(shard * per_shard, shard * per_shard + n), pa.int64()), "digest": digests, "n_tokens": pa.array(counts, pa.int32())})
+                begin, n = max(0, first - shard * per_shard), len(data) // stride
+                for k in range(begin, n, 1024):
+                    places = range(k, min(n, k + 1024))
+                    slots = pa.array([shard * per_shard + i for i in places], pa.int64())
+                    yield pa.RecordBatch.from_arrays([slots, pa.array([data[i * stride : (i + 1) * stride - 1] for i in places], pa.binary())], names=["slot", "tokens"])
+
+    files = spark.read.format("binaryFile").load(folder).where(F.col("shard") >= first // per_shard).select("path", "content")
+    return files.mapInArrow(parse, "slot long, tokens binary")
+
+
+def _n_tokens(tokens: Column) -> Column:
+    """How many ids are others than the separator."""
+
+    @F.arrow_udf("int")
+    def count(records: pa.Array) -> pa.Array:
+        return pa.array([int((np.frombuffer(r.as_buffer(), np.uint16) != SEPARATOR).sum()) for r in records], pa.int32())
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    return files.mapInArrow(parse, "slot long, digest binary, n_tokens int")
+    return count(tokens)
 
 
 def materialised(docs: DataFrame, path: str, pattern: str, key: int, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = SHARD) -> DataFrame:
     """Writes the shards to the shared folder and reads them back: (slot, shard, position, number, doc_ids, n_tokens, sha256, intact) of every sequence.
 
-    doc_ids are the documents that a sequence holds parts of; sha256 and n_tokens are of the record at the slot, as read
-    back (null where there is none), and intact says whether it is the sequence as it was packed. The join that tells shuffles a
-    digest and the doc_ids of a sequence, not its tokens.
+    doc_ids are the documents that a sequence holds parts of, in order; sha256 and n_tokens are of the record at the slot, as read back
+    (null where there is none), and intact says whether its checksum is that of the pieces before they were shuffled. The join
+    that tells shuffles checksums and the doc_ids of a sequence, not its tokens.
     """
     spark = docs.sparkSession
-    table = written(sequences(docs, path, pattern, doc_id, text, length), "sequences", **_PACKED)
-    parts = table.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task
-    bases = written(parts.select(F.col("part").alias("_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), "n"), "parts")
-    n = bases.agg(F.sum("n")).first()[0] or 0
-    numbered = table.join(bases, F.col("part") == F.col("_part")).withColumn("number", F.col("base") + F.col("place"))
-    placed = numbered.withColumn("slot", slot_of(F.col("number"), n, key)).withColumn("shard", F.expr(f"slot div {per_shard}"))
-    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    if n:
-        write_shards(placed.select("shard", "slot", "tokens"), folder, -(-n // per_shard))
-        back = read_shards(spark, folder, length, per_shard)
-    else:
-        back = spark.createDataFrame([], "slot long, digest binary, n_tokens int")
-    own = placed.select("slot", "number", "doc_ids", F.col("digest").alias("_own"))
-    out = own.join(back, "slot", "left")
-    names = {"shard": F.expr(f"slot div {per_shard}"), "position": F.col("slot") % per_shard, "sha256": F.lower(F.hex("digest")), "intact": F.coalesce(F.col("digest") == F.col("_own"), F.lit(False))}
-    return out.withColumns(names).select("slot", "shard", "position", "number", "doc_ids", "n_tokens", "sha256", "intact")
+    with _shuffles_deleted(spark):
+        table = written(token_table(docs, path, pattern, doc_id, text), "tokens", **_PACKED)
+        parts = table.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each range
+        bases = written(parts.select(F.col("part").alias("_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), F.col("n").alias("_n")), "parts")
+        ids = bases.agg(F.sum("_n")).first()[0] or 0
+        n = -(-ids // length)
+        folder, shards = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", -(-n // per_shard)
+        every = pieces(table, bases.drop("_n"), n, n * length - ids, length)
+        own = every.withColumn("sum", checksum(F.col("tokens"), F.col("at"), length))
+        own = own.groupBy("number").agg(F.sum("sum").alias("_own"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id")))).getField("id").alias("doc_ids"))
+        own = written(own.withColumn("slot", slot_of(F.col("number"), n, key)), "sequences")
+        placed = every.withColumn("slot", slot_of(F.col("number"), n, key)).withColumn("shard", F.expr(f"slot div {per_shard}"))
+        per_wave = max(1, -(-shards // WAVES))
+        for first in range(0, shards, per_wave):
+            until = min(shards, first + per_wave)
+            write_shards(placed.where((F.col("shard") >= first) & (F.col("shard") < until)).select("slot", "shard", "at", "tokens"), folder, first, until - first, length)
+        dropped(table)
+    back = read_shards(spark, folder, length, per_shard) if n else spark.createDataFrame([], "slot long, tokens binary")
+    back = back.select("slot", F.sha2("tokens", 256).alias("sha256"), _n_tokens(F.col("tokens")).alias("n_tokens"), checksum(F.col("tokens"), F.lit(0), length).alias("_sum"))
+    names = {"shard": F.expr(f"slot div {per_shard}"), "position": F.col("slot") % per_shard, "intact": F.coalesce(F.col("_sum") == F.col("_own"), F.lit(False))}
+    return own.join(back, "slot", "left").withColumns(names).select("slot", "shard", "position", "number", "doc_ids", "n_tokens", "sha256", "intact")
