@@ -11,7 +11,8 @@ copes with retried tasks.
 
 Texts are shuffled once, by range, tokens once, by shard: a task for each shard, the range of slots that it holds. That goes in WAVES, each for a part of the
 shards, and Spark deletes the shuffle files of each write when it ends, so that the disk holds the table of tokens, the shards and a wave's shuffle.
-All shards but the last have the same size, so no key is hot; rows that share an id and a text are dealt over ranges, too.
+All shards but the last have the same size, so no key is hot; rows that share an id and a text are dealt over ranges, too. Documents are cut into pieces
+in Arrow batches, where the pieces share the memory of their document, so a long one isn't copied for each of its pieces.
 
 Defined cases: a null or empty text is its separator only; repeated rows are encoded each; an empty table gives no shard; a null id
 comes first and is left out of doc_ids; ids must be numbers; other columns are not read.
@@ -27,7 +28,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunder.llm.bpe import _encoding, encode_text, read_ranks
@@ -89,14 +90,6 @@ def unpermuted(slots: np.ndarray, n: int, key: int) -> np.ndarray:
     return permuted(slots, n, key, backward=True)
 
 
-def slot_of(number: Column, n: int, key: int) -> Column:
-    @F.arrow_udf("long")
-    def slot(numbers: pa.Array) -> pa.Array:
-        return pa.array(permuted(numbers.to_numpy(zero_copy_only=False), n, key))
-
-    return slot(number)
-
-
 def _narrow(ids: np.ndarray) -> np.ndarray:
     if ids.max() > 65_535:
         raise ValueError(f"id {ids.max()} doesn't fit 16 bits")
@@ -107,19 +100,9 @@ def _weights(length: int) -> np.ndarray:
     return (_mixed(np.arange(length, dtype=np.uint64), 1) >> np.uint64(33)).astype(np.int64) + 1
 
 
-def checksum(tokens: Column, at: Column, length: int) -> Column:
+def checksum(ids: np.ndarray, place: int, weights: np.ndarray) -> int:
     """The sum of ids times weights of their places in the sequence; the pieces of a sequence add up to the sequence's. Another id changes it."""
-    weights = _weights(length)
-
-    @F.arrow_udf("long")
-    def total(pieces: pa.Array, places: pa.Array) -> pa.Array:
-        out = []
-        for piece, place in zip(pieces, places.to_numpy(zero_copy_only=False), strict=True):
-            ids = np.frombuffer(piece.as_buffer(), np.uint16)
-            out.append(int(ids.astype(np.int64) @ weights[place : place + len(ids)]))  # below 2 ** 57 for 1024 ids
-        return pa.array(out, pa.int64())
-
-    return total(tokens, at)
+    return int(ids.astype(np.int64) @ weights[place : place + len(ids)])  # below 2 ** 57 for 1024 ids
 
 
 def token_table(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,16 +128,59 @@ def token_table(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id"
     return rows.select("id", "text").mapInArrow(encode, "part int, start long, n int, id long, tokens binary")
 
 
-def pieces(table: DataFrame, bases: DataFrame, n: int, pad: int, length: int = LENGTH) -> DataFrame:
-    """(number, at, id, tokens): the parts of documents in each sequence, and the padding of the last one."""
-    rows = table.join(bases, F.col("part") == F.col("_part")).withColumn("start", F.col("base") + F.col("start"))
-    numbers = F.sequence(F.expr(f"start div {length}"), F.expr(f"(start + n - 1) div {length}"))
-    rows = rows.select("start", "n", "id", "tokens", F.explode(numbers).alias("number"))
-    low, high = F.greatest("start", F.col("number") * length), F.least(F.col("start") + F.col("n"), (F.col("number") + 1) * length)
-    tokens = F.substring("tokens", ((low - F.col("start")) * 2 + 1).cast("int"), ((high - low) * 2).cast("int"))
-    rows = rows.select("number", (low - F.col("number") * length).cast("int").alias("at"), "id", tokens.alias("tokens"))
-    last = bytearray(np.full(pad, SEPARATOR, np.uint16).tobytes())
-    return rows.unionByName(table.sparkSession.createDataFrame([(n - 1, length - pad, None, last)] if pad else [], rows.schema))
+def stream(table: DataFrame, bases: DataFrame, ids: int, pad: int) -> DataFrame:
+    """(start, id, tokens): the documents with their places in the stream of so many ids, and the padding of the last sequence."""
+    rows = table.join(bases, F.col("part") == F.col("_part")).select((F.col("base") + F.col("start")).alias("start"), "id", "tokens")
+    if not pad:
+        return rows
+    padding = bytearray(np.full(pad, SEPARATOR, np.uint16).tobytes())
+    return rows.union(table.sparkSession.range(1).select(F.lit(ids).cast("long"), F.lit(None).cast("long"), F.lit(padding)))
+
+
+def _cut(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The number, the place in the sequence, the row and the tokens of each piece of a batch of stream(). The pieces share the batch's memory."""
+    tokens = batch.column(2).cast(pa.binary())
+    _, offsets, data = tokens.buffers()
+    ends = np.frombuffer(offsets, np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+    start, n = batch.column(0).to_numpy(), np.diff(ends) // 2
+    first = start // length
+    count = (start + n - 1) // length - first + 1
+    row = np.repeat(np.arange(len(count)), count)
+    number = first[row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    low = np.maximum(start[row], number * length)
+    cuts = np.append(ends[row] + 2 * (low - start[row]), ends[-1]).astype(np.int32)
+    return number, low - number * length, row, pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), data])
+
+
+def pieces(rows: DataFrame, n: int, key: int, per_shard: int, first: int, until: int, length: int = LENGTH) -> DataFrame:
+    """(slot, shard, at, tokens): the parts of documents in each sequence of the shards from first to before until; rows as of stream(), n sequences."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                number, at, _, tokens = _cut(batch, length)
+                slot = permuted(number, n, key)
+                shard = slot // per_shard
+                keep = (first <= shard) & (shard < until)
+                columns = [pa.array(slot[keep]), pa.array(shard[keep]), pa.array(at[keep].astype(np.int32)), tokens.filter(pa.array(keep))]
+                yield pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "at", "tokens"])
+
+    return rows.mapInArrow(cut, "slot long, shard long, at int, tokens binary")
+
+
+def sums(rows: DataFrame, n: int, key: int, length: int = LENGTH) -> DataFrame:
+    """(number, slot, at, id, sum): what the sequences hold of each document, with the checksum of its part; rows as of stream()."""
+    weights = _weights(length)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                number, at, row, tokens = _cut(batch, length)
+                total = [checksum(np.frombuffer(t.as_buffer(), np.uint16), place, weights) for t, place in zip(tokens, at.tolist(), strict=True)]
+                columns = [pa.array(number), pa.array(permuted(number, n, key)), pa.array(at.astype(np.int32)), batch.column(1).take(pa.array(row)), pa.array(total, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["number", "slot", "at", "id", "sum"])
+
+    return rows.mapInArrow(cut, "number long, slot long, at int, id long, sum long")
 
 
 def write_shards(placed: DataFrame, folder: str, first: int, shards: int, length: int = LENGTH) -> None:
@@ -187,34 +213,45 @@ def write_shards(placed: DataFrame, folder: str, first: int, shards: int, length
     rows.write.mode("append").partitionBy("shard").option("lineSep", "\n").text(folder)
 
 
+def _shard_files(spark: SparkSession, folder: str, per_shard: int, first: int) -> DataFrame:
+    return spark.read.format("binaryFile").load(folder).where(F.col("shard") >= first // per_shard).select("path", "content")
+
+
+def _records(batches: Iterator[pa.RecordBatch], length: int, per_shard: int, first: int) -> Iterator[tuple[range, list[memoryview]]]:
+    """Slots and their tokens, some at a time."""
+    stride = 2 * length + 1
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data, shard = memoryview(content.as_buffer()), int(path.rpartition("/shard=")[2].partition("/")[0])
+            if len(data) % stride:
+                raise ValueError(f"{path} isn't a whole count of records")
+            begin, n = max(0, first - shard * per_shard), len(data) // stride
+            for k in range(begin, n, 1024):
+                places = range(k, min(n, k + 1024))
+                yield range(shard * per_shard + k, shard * per_shard + places.stop), [data[i * stride : (i + 1) * stride - 1] for i in places]
+
+
 def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = SHARD, first: int = 0) -> DataFrame:
     """(slot, tokens) of every record from slot `first` on, by stride. Shards before it aren't opened, the records before it in its shard aren't looked at."""
-    stride = 2 * length + 1
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, shard = memoryview(content.as_buffer()), int(path.rpartition("/shard=")[2].partition("/")[0])
-                if len(data) % stride:
-                    raise ValueError(f"{path} isn't a whole count of records")
-                begin, n = max(0, first - shard * per_shard), len(data) // stride
-                for k in range(begin, n, 1024):
-                    places = range(k, min(n, k + 1024))
-                    slots = pa.array([shard * per_shard + i for i in places], pa.int64())
-                    yield pa.RecordBatch.from_arrays([slots, pa.array([data[i * stride : (i + 1) * stride - 1] for i in places], pa.binary())], names=["slot", "tokens"])
+        for slots, records in _records(batches, length, per_shard, first):
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(records, pa.binary())], names=["slot", "tokens"])
 
-    files = spark.read.format("binaryFile").load(folder).where(F.col("shard") >= first // per_shard).select("path", "content")
-    return files.mapInArrow(parse, "slot long, tokens binary")
+    return _shard_files(spark, folder, per_shard, first).mapInArrow(parse, "slot long, tokens binary")
 
 
-def _n_tokens(tokens: Column) -> Column:
-    """How many ids are others than the separator."""
+def read_digests(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = SHARD) -> DataFrame:
+    """(slot, sha256, n_tokens, _sum) of every record as read_shards reads it: the digest, how many ids are others than the separator, and the checksum."""
+    weights = _weights(length)
 
-    @F.arrow_udf("int")
-    def count(records: pa.Array) -> pa.Array:
-        return pa.array([int((np.frombuffer(r.as_buffer(), np.uint16) != SEPARATOR).sum()) for r in records], pa.int32())
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slots, records in _records(batches, length, per_shard, 0):
+            ids = [np.frombuffer(r, np.uint16) for r in records]
+            columns = [pa.array(slots, pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in records]), pa.array([int((i != SEPARATOR).sum()) for i in ids], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([checksum(i, 0, weights) for i in ids], pa.int64())], names=["slot", "sha256", "n_tokens", "_sum"])
 
-    return count(tokens)
+    return _shard_files(spark, folder, per_shard, 0).mapInArrow(parse, "slot long, sha256 string, n_tokens int, _sum long")
 
 
 def materialised(docs: DataFrame, path: str, pattern: str, key: int, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = SHARD) -> DataFrame:
@@ -232,17 +269,15 @@ def materialised(docs: DataFrame, path: str, pattern: str, key: int, doc_id: str
         ids = bases.agg(F.sum("_n")).first()[0] or 0
         n = -(-ids // length)
         folder, shards = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", -(-n // per_shard)
-        every = pieces(table, bases.drop("_n"), n, n * length - ids, length)
-        own = every.withColumn("sum", checksum(F.col("tokens"), F.col("at"), length))
-        own = own.groupBy("number").agg(F.sum("sum").alias("_own"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id")))).getField("id").alias("doc_ids"))
-        own = written(own.withColumn("slot", slot_of(F.col("number"), n, key)), "sequences")
-        placed = every.withColumn("slot", slot_of(F.col("number"), n, key)).withColumn("shard", F.expr(f"slot div {per_shard}"))
+        every = stream(table, bases.drop("_n"), ids, n * length - ids)
+        own = sums(every, n, key, length).groupBy("number", "slot")
+        own = own.agg(F.sum("sum").alias("_own"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id")))).getField("id").alias("doc_ids"))
+        own = written(own, "sequences")
         per_wave = max(1, -(-shards // WAVES))
         for first in range(0, shards, per_wave):
             until = min(shards, first + per_wave)
-            write_shards(placed.where((F.col("shard") >= first) & (F.col("shard") < until)).select("slot", "shard", "at", "tokens"), folder, first, until - first, length)
+            write_shards(pieces(every, n, key, per_shard, first, until, length), folder, first, until - first, length)
         dropped(table)
-    back = read_shards(spark, folder, length, per_shard) if n else spark.createDataFrame([], "slot long, tokens binary")
-    back = back.select("slot", F.sha2("tokens", 256).alias("sha256"), _n_tokens(F.col("tokens")).alias("n_tokens"), checksum(F.col("tokens"), F.lit(0), length).alias("_sum"))
+    back = read_digests(spark, folder, length, per_shard) if n else spark.createDataFrame([], "slot long, sha256 string, n_tokens int, _sum long")
     names = {"shard": F.expr(f"slot div {per_shard}"), "position": F.col("slot") % per_shard, "intact": F.coalesce(F.col("_sum") == F.col("_own"), F.lit(False))}
     return own.join(back, "slot", "left").withColumns(names).select("slot", "shard", "position", "number", "doc_ids", "n_tokens", "sha256", "intact")
