@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +65,10 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:
 def encode_text(encoding: tiktoken.Encoding, text: str | None, limit: int = PIECE_CHARS) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint32)
-    if len(text) <= limit:
-        return encoding.encode_to_numpy(text, disallowed_special=())
-    return np.concatenate([encoding.encode_to_numpy(piece, disallowed_special=()) for piece in pieces(text, limit)])
+    ids = array("I")  # encode_to_numpy looks for special tokens, too, which takes a fifth longer
+    for piece in pieces(text, limit):
+        ids.extend(encoding.encode_ordinary(piece))
+    return np.frombuffer(ids, np.uint32)
 
 
 class Codec:
